@@ -41,8 +41,7 @@ class LoanBook:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of ``df`` in the declared order and types, plus the run key if it has one."""
-    schema = TABLES[table].schema
-    columns = [df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+    columns = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in TABLES[table].schema.fields]
     if RUN_KEY in df.columns:
-        columns.append(df[RUN_KEY])
-    return df.select(*columns)
+        columns.append(RUN_KEY)
+    return df.selectExpr(*columns)

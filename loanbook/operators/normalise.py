@@ -35,20 +35,16 @@ DISBURSEMENT_DEFAULT = "account_credit"
 
 def normalise_batch(terms: DataFrame, loaded_at: dt.datetime | None = None, key_offset: int = 0) -> LoanBook:
     """Tables of one load from the output of ``derive_contract_terms``."""
+    return LoanBook(**{table: normalise_table(terms, table, loaded_at, key_offset) for table in _BUILDERS})
+
+
+def normalise_table(
+    terms: DataFrame, table: str, loaded_at: dt.datetime | None = None, key_offset: int = 0
+) -> DataFrame:
+    """One table of the load."""
     stamp = F.lit(loaded_at).cast("timestamp") if loaded_at is not None else F.current_timestamp()
     rows = terms.withColumns({"_key": F.col("row_no") + F.lit(key_offset).cast("bigint"), "_stamp": stamp})
-    tables = {
-        "customers": _customers(rows),
-        "customer_income": _income(rows),
-        "income_verifications": _verifications(rows),
-        "loan_applications": _applications(rows),
-        "application_scores": _scores(rows),
-        "application_decisions": _decisions(rows),
-        "loan_contracts": _contracts(rows),
-        "loan_collateral": _collateral(rows),
-        "loan_disbursements": _disbursements(rows),
-    }
-    return LoanBook(**{name: conform(df, name) for name, df in tables.items()})
+    return conform(_BUILDERS[table](rows), table)
 
 
 def _key(name: str) -> Column:
@@ -203,3 +199,16 @@ def _disbursements(rows: DataFrame) -> DataFrame:
         _reference("TX-").alias("transaction_reference"),
         RUN_KEY,
     )
+
+
+_BUILDERS = {
+    "customers": _customers,
+    "customer_income": _income,
+    "income_verifications": _verifications,
+    "loan_applications": _applications,
+    "application_scores": _scores,
+    "application_decisions": _decisions,
+    "loan_contracts": _contracts,
+    "loan_collateral": _collateral,
+    "loan_disbursements": _disbursements,
+}

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from loanbook.book import LoanBook, conform
 from loanbook.schemas import RUN_KEY, TABLES
@@ -35,26 +35,28 @@ def loaded_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_RUN_SCHEMA).parquet(path).distinct()
 
 
-def append_batch(book: LoanBook, root: str, run_key: str) -> bool:
-    """Add the rows of one run to the stored tables; False if the run was loaded before.
+def append_batch(book: LoanBook, root: str) -> bool:
+    """Add the runs of ``book`` that are not stored yet; False if there are none.
 
-    Rows of other runs are never touched.  Only leftovers of a failed attempt at
-    the same run can be replaced.
+    Rows of stored runs are never touched.  Only leftovers of a load that did not
+    finish can be replaced, and only by the same run.
     """
-    tables = book.tables()
+    tables = {name: conform(df, name) for name, df in book.tables().items()}
     spark = next(iter(tables.values())).sparkSession
-    if not loaded_runs(spark, root).where(F.col(RUN_KEY) == run_key).isEmpty():
+    stored = loaded_runs(spark, root)
+    runs = tables.get("loan_contracts", next(iter(tables.values()))).select(RUN_KEY).distinct()
+    new_runs = runs.join(stored, RUN_KEY, "left_anti")
+    if new_runs.isEmpty():
         return False
     for name, df in tables.items():
         (
-            conform(df, name)
-            .where(F.col(RUN_KEY) == run_key)
+            df.join(stored, RUN_KEY, "left_anti")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")  # this run's folder only
+            .option("partitionOverwriteMode", "dynamic")  # the folders of these runs only
             .partitionBy(RUN_KEY)
             .parquet(f"{root}/{name}")
         )
-    spark.createDataFrame([(run_key,)], _RUN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{_RUNS}")
+    new_runs.coalesce(1).write.mode("append").parquet(f"{root}/{_RUNS}")
     return True
 
 
