@@ -148,7 +148,7 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "apply_defaults": _apply_defaults,
     "build_payment_schedule": lambda b: lifecycle.build_payment_schedule(b.contracts).drop(RUN_KEY),
     "derive_delinquency_events": lambda b: b.derive_events().drop(RUN_KEY),
-    "derive_contract_terms": lambda b: b.terms.select(*_DERIVED_TERMS),
+    "derive_contract_terms": lambda b: b.derive_terms().select(*_DERIVED_TERMS),
     "normalise_batch": _normalise_batch,
     "append_batch": _append_batch,
 }

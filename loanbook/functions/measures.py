@@ -60,6 +60,24 @@ def round_to_cents(units: Column, units_per_cent: Column | int) -> Column:
     return (divide_half_up(units, divisor).cast("decimal(20,0)") / 100).cast(MONEY)
 
 
+def cents_to_money(cents: Column) -> Column:
+    """Money from whole cents."""
+    # 15 digits times 2 digits stays within 18, where decimals are plain longs.
+    return (cents.cast("decimal(15,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
+
+
+def scale_half_up(value: Column, factor: Column, divisor: int) -> Column:
+    """``value * factor / divisor`` on longs, rounded half away from zero, ``factor >= 0``.
+
+    Whole multiples of the divisor are split off first, so that the product never
+    needs more than a long as long as the result and ``divisor * factor`` fit one.
+    """
+    size = F.abs(value)
+    whole = F.call_function("div", size, F.lit(divisor)) * factor
+    rest = F.call_function("div", 2 * (size % divisor) * factor + divisor, F.lit(2 * divisor))
+    return F.when(value < 0, -(whole + rest)).otherwise(whole + rest)
+
+
 def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 
@@ -86,7 +104,8 @@ def bucket(value: Column, edges: list[tuple[int, str]], above: str | None) -> Co
 def spine(spark: SparkSession, key: str, labels: list[str]) -> DataFrame:
     """Fixed report rows ``(key, sort_order)`` in the order given."""
     rows = ", ".join(f"('{label}', {i})" for i, label in enumerate(labels, 1))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS spine({key}, sort_order)")
+    # A handful of rows in one partition: totals over them and their final sort need no shuffle.
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS spine({key}, sort_order)").coalesce(1)
 
 
 def on_spine(summary: DataFrame, key: str, labels: list[str]) -> DataFrame:

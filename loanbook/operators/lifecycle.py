@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loanbook.book import conform
 from loanbook.functions.calendar import as_date, full_months
-from loanbook.functions.measures import MONEY, divide_half_up, round_to_cents, whole_units
+from loanbook.functions.measures import (
+    MONEY, cents_to_money, divide_half_up, round_to_cents, scale_half_up, whole_units,
+)
 from loanbook.schemas import DEFAULT_CURRENCY, DEFAULT_PENALTY_RATE, RUN_KEY, TABLES
 
 # --- Fixed values: pricing, scoring and key rules ----------------------------
@@ -119,32 +121,35 @@ def build_payment_schedule(contracts: DataFrame) -> DataFrame:
 
     The last part takes up the rounding difference, so the parts add up to the
     principal.  Rows are generated within each contract's own partition; nothing
-    is shuffled.
+    is shuffled.  Amounts are whole cents in longs until the last step.
     """
-    principal = whole_units(F.col("principal_amount"), 2)
-    term = F.col("term_months")
     number = F.col("installment_number")
-    part = divide_half_up(F.col("principal_cents"), F.col("term_months").cast("decimal(10,0)")).cast("decimal(18,0)")
+    last = number == F.col("term_months")
     balance = F.col("principal_cents") - F.col("part_cents") * (number - 1)
-    interest = balance.cast("decimal(20,0)") * whole_units(F.col("interest_rate"), _RATE_SCALE).cast("decimal(11,0)")
-    principal_due = F.when(number == term, balance).otherwise(F.col("part_cents"))
+    interest = scale_half_up(balance, F.col("rate_units"), 100 * 12 * 10**_RATE_SCALE)
     carried = [RUN_KEY] if RUN_KEY in contracts.columns else []
-    rows = (
+    terms = (
         # sequence(1, 0) would count down, so contracts without a term are left out first.
-        contracts.where(term >= 1)
-        .withColumn("principal_cents", principal)
-        .withColumn("part_cents", part)
-        .withColumn("installment_number", F.explode(F.sequence(F.lit(1), term)))
+        contracts.where(F.col("term_months") >= 1)
         .select(
-            (F.col("loan_contract_id") * SCHEDULE_KEY_STRIDE + number).alias("payment_schedule_id"),
             "loan_contract_id",
-            "installment_number",
-            F.add_months("start_date", number).alias("due_date"),
-            (principal_due.cast("decimal(20,0)") / 100).cast(MONEY).alias("principal_due"),
-            round_to_cents(interest, 100 * 12 * 10**_RATE_SCALE).alias("interest_due"),
-            F.lit(0).cast(MONEY).alias("fee_due"),
+            "start_date",
+            "term_months",
+            whole_units(F.col("principal_amount"), 2).cast("bigint").alias("principal_cents"),
+            whole_units(F.col("interest_rate"), _RATE_SCALE).cast("bigint").alias("rate_units"),
             *carried,
         )
+        .withColumn("part_cents", divide_half_up(F.col("principal_cents"), F.col("term_months")))
+    )
+    rows = terms.withColumn("installment_number", F.explode(F.sequence(F.lit(1), F.col("term_months")))).select(
+        (F.col("loan_contract_id") * SCHEDULE_KEY_STRIDE + number).alias("payment_schedule_id"),
+        "loan_contract_id",
+        "installment_number",
+        F.add_months("start_date", number).alias("due_date"),
+        cents_to_money(F.when(last, balance).otherwise(F.col("part_cents"))).alias("principal_due"),
+        cents_to_money(interest).alias("interest_due"),
+        F.lit(0).cast(MONEY).alias("fee_due"),
+        *carried,
     )
     return conform(with_total_due(rows), "payment_schedule")
 

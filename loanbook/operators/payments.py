@@ -148,6 +148,7 @@ def early_delinquency_analysis(contracts: DataFrame, schedule: DataFrame, events
             count_where(dpd > 90).alias("ever_90_plus_contracts"),
             count_where(F.col("contract_status") == "defaulted").alias("defaulted_contracts"),
         )
+        .coalesce(1)  # at most three groups, already combined
     )
     contract_count = F.col("contract_count")
     everything = Window.partitionBy()  # over at most three groups

@@ -71,5 +71,6 @@ def open_dpd_distribution(contracts: DataFrame, schedule: DataFrame, events: Dat
         .join(per_contract, "loan_contract_id", "left")
         .groupBy(label.alias("dpd_bucket"))
         .agg(F.count("*").alias("contracts"))
+        .coalesce(1)  # at most five groups, already combined
         .orderBy(F.array_position(F.array(*[F.lit(name) for name in order]), F.col("dpd_bucket")))
     )
