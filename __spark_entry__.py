@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,6 +34,11 @@ def entry(spark: SparkSession) -> DataFrame:
     return monitoring.portfolio_kpis(book.snapshot, AS_OF)
 
 
+@cache
+def _damaged(b: OrdersBook) -> LoanBook:
+    return damaged_book(b.book)
+
+
 def _generated_columns(b: OrdersBook) -> DataFrame:
     """Each generated column, computed from the columns it is defined over."""
     generated = [
@@ -138,11 +144,11 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
         b.contracts, b.schedule, b.delinquency_events
     ),
     # Integrity of the tables
-    "audit_checks": lambda b: constraints.audit_checks(damaged_book(b.book)),
-    "audit_foreign_keys": lambda b: constraints.audit_foreign_keys(damaged_book(b.book)),
-    "audit_uniqueness": lambda b: constraints.audit_uniqueness(damaged_book(b.book)),
-    "audit_not_null": lambda b: constraints.audit_not_null(damaged_book(b.book)),
-    "audit_text_lengths": lambda b: constraints.audit_text_lengths(damaged_book(b.book)),
+    "audit_checks": lambda b: constraints.audit_checks(_damaged(b)),
+    "audit_foreign_keys": lambda b: constraints.audit_foreign_keys(_damaged(b)),
+    "audit_uniqueness": lambda b: constraints.audit_uniqueness(_damaged(b)),
+    "audit_not_null": lambda b: constraints.audit_not_null(_damaged(b)),
+    "audit_text_lengths": lambda b: constraints.audit_text_lengths(_damaged(b)),
     # Table lifecycle
     "generated_columns": _generated_columns,
     "apply_defaults": _apply_defaults,

@@ -40,8 +40,16 @@ class LoanBook:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns of ``df`` in the declared order and types, plus the run key if it has one."""
-    columns = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in TABLES[table].schema.fields]
-    if RUN_KEY in df.columns:
+    """Columns of ``df`` in the declared order and types, plus the run key if it has one.
+
+    Columns that have their type already stay plain references, so that Spark
+    recognises equal subplans built on them.
+    """
+    present = {f.name: f.dataType for f in df.schema.fields}
+    columns = [
+        f.name if present[f.name] == f.dataType else f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in TABLES[table].schema.fields
+    ]
+    if RUN_KEY in present:
         columns.append(RUN_KEY)
     return df.selectExpr(*columns)

@@ -12,12 +12,14 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     so a key with very many right rows would end up in a single task.  The inner
     join of the matching rows can be split on both sides; the unmatched rows
     come from an anti join against the distinct keys, which are combined before
-    they move.  Both branches read the same shuffle of ``left``.
+    they move.  Rows without a key need no join; with them set apart, both
+    branches read the same shuffle of ``left``.
     """
-    matched = left.join(right, key, "inner")
-    keys = right.select(key).distinct()
-    unmatched = left.join(keys, key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    keyed = left.where(F.col(key).isNotNull())
+    matched = keyed.join(right, key, "inner")
+    unmatched = keyed.join(right.select(key).distinct(), key, "left_anti")
+    keyless = left.where(F.col(key).isNull())
+    return matched.unionByName(unmatched.unionByName(keyless), allowMissingColumns=True)
 
 
 def count_orphans(child: DataFrame, foreign_key: str, parent: DataFrame, primary_key: str) -> DataFrame:
