@@ -21,9 +21,3 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     keyless = left.where(F.col(key).isNull())
     return matched.unionByName(unmatched.unionByName(keyless), allowMissingColumns=True)
 
-
-def count_orphans(child: DataFrame, foreign_key: str, parent: DataFrame, primary_key: str) -> DataFrame:
-    """Rows of ``child`` per foreign-key value that has no parent."""
-    per_value = child.where(F.col(foreign_key).isNotNull()).groupBy(foreign_key).agg(F.count("*").alias("orphans"))
-    parents = parent.select(F.col(primary_key).alias(foreign_key)).distinct()
-    return per_value.join(parents, foreign_key, "left_anti")

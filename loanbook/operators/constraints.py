@@ -11,8 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loanbook.book import LoanBook
-from loanbook.functions.joins import count_orphans
-from loanbook.schemas import TABLES, TEXT_LIMITS
+from loanbook.schemas import TABLES, TEXT_LIMITS, Reference
 
 
 def audit_checks(book: LoanBook) -> DataFrame:
@@ -35,17 +34,38 @@ def audit_text_lengths(book: LoanBook) -> DataFrame:
 
 
 def audit_foreign_keys(book: LoanBook) -> DataFrame:
-    """Child rows whose parent does not exist, per foreign key."""
+    """Child rows whose parent does not exist, per foreign key.
+
+    The children of one parent are stacked and counted per key value, so each
+    parent is scanned and joined once however many foreign keys point to it, and
+    a value with very many child rows travels as one row per task.
+    """
     tables = book.tables()
-    parts = []
-    for name, child in tables.items():
+    children: dict[str, list[tuple[str, Reference]]] = {}
+    for name in tables:
         for ref in TABLES[name].references:
-            orphans = count_orphans(child, ref.column, tables[ref.parent], TABLES[ref.parent].key)
-            parts.append(
-                orphans.agg(F.coalesce(F.sum("orphans"), F.lit(0)).alias("violations")).select(
-                    F.lit(name).alias("table_name"), F.lit(ref.name).alias("constraint_name"), "violations"
-                )
+            children.setdefault(ref.parent, []).append((name, ref))
+    parts = []
+    for parent, refs in children.items():
+        key = TABLES[parent].key
+        stacked = [
+            tables[name].select(F.col(ref.column).alias(key), F.lit(ref.name).alias("_reference")) for name, ref in refs
+        ]
+        per_value = (
+            reduce(DataFrame.unionByName, stacked)
+            .where(F.col(key).isNotNull())
+            .groupBy(key)
+            .agg(*[F.count_if(F.col("_reference") == ref.name).alias(ref.name) for _, ref in refs])
+        )
+        orphans = per_value.join(tables[parent].select(key).distinct(), key, "left_anti")
+        totals = orphans.agg(*[F.coalesce(F.sum(ref.name), F.lit(0)).alias(ref.name) for _, ref in refs])
+        found = [
+            F.struct(
+                F.lit(name).alias("table_name"), F.lit(ref.name).alias("constraint_name"), F.col(ref.name).alias("violations")
             )
+            for name, ref in refs
+        ]
+        parts.append(totals.select(F.inline(F.array(*found))))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanbook.functions.calendar import as_date, month_start
 from loanbook.functions.joins import left_join_many
-from loanbook.functions.measures import bucket, count_where, mean, money_sum, on_spine, pct, sum_where
+from loanbook.functions.measures import MONEY_TOTAL, bucket, count_where, mean, money_sum, on_spine, pct, sum_where
 
 # --- Fixed values: report buckets and labels ---------------------------------
 EVENT_DPD_EDGES = [(7, "1-7"), (30, "8-30"), (60, "31-60"), (90, "61-90")]
@@ -51,21 +51,38 @@ def classify_installments(schedule: DataFrame, payments: DataFrame, as_of: dt.da
 
 
 def monthly_payment_performance(schedule: DataFrame, payments: DataFrame, as_of: dt.date | Column) -> DataFrame:
-    """Collection and punctuality by the month instalments fell due."""
-    fallen_due = schedule.where(F.col("due_date") <= as_date(as_of))
-    state = F.col("payment_state")
+    """Collection and punctuality by the month instalments fell due.
+
+    An instalment paid in several parts counts once per part, with its whole
+    amount each time.  The parts are combined per instalment and day before the
+    join and carried as a weight, which bounds the rows per instalment by its
+    number of payment days.
+    """
+    due = F.col("due_date")
+    paid_on = F.col("payment_date")
+    fallen_due = schedule.where(due <= as_date(as_of)).select("payment_schedule_id", "due_date", "total_due")
+    parts = (
+        payments.where(F.col("payment_status") == "posted")
+        .groupBy("payment_schedule_id", "payment_date")
+        .agg(F.count("*").alias("parts"), F.sum("payment_amount").cast(MONEY_TOTAL).alias("paid"))
+    )
+    weight = F.coalesce("parts", F.lit(1))
+
+    def weighted(value: Column, condition: Column) -> Column:
+        return F.coalesce(sum_where(value, condition), F.lit(0))
+
     summary = (
-        classify_installments(fallen_due, payments, as_of)
-        .groupBy("payment_month")
+        fallen_due.join(parts, "payment_schedule_id", "left")
+        .groupBy(month_start(due).alias("payment_month"))
         .agg(
-            F.count("*").alias("scheduled_installments"),
-            count_where(state.isin("on_time", "late")).alias("paid_installments"),
-            count_where(state == "on_time").alias("on_time_installments"),
-            count_where(state == "late").alias("late_installments"),
-            count_where(state == "unpaid").alias("unpaid_installments"),
-            money_sum(F.col("scheduled_amount")).alias("scheduled_amount"),
-            money_sum(F.col("paid_amount")).alias("paid_amount"),
-            F.sum("payment_delay_days").alias("delay_days"),
+            F.sum(weight).alias("scheduled_installments"),
+            weighted(weight, paid_on.isNotNull()).alias("paid_installments"),
+            weighted(weight, paid_on <= due).alias("on_time_installments"),
+            weighted(weight, paid_on > due).alias("late_installments"),
+            weighted(weight, paid_on.isNull()).alias("unpaid_installments"),
+            money_sum(F.col("total_due") * weight.cast("decimal(12,0)")).alias("scheduled_amount"),
+            money_sum(F.col("paid")).alias("paid_amount"),
+            sum_where(weight * F.date_diff(paid_on, due), paid_on > due).alias("delay_days"),
         )
     )
     return summary.select(
