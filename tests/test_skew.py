@@ -15,9 +15,9 @@ from loanbook.sources.orders_book import MAX_TERM, OrdersBook
 HOT_ORDER = 7
 
 
-@pytest.fixture(scope="module")
-def skewed(spark, small, tmp_path_factory):
-    """Order tables in which one order has a third of all lines."""
+@pytest.fixture(scope="module", params=["many parts", "copies of one line"])
+def skewed(request, spark, small, tmp_path_factory):
+    """Order tables in which one order has a third of all lines, all different or all equal."""
     folder = tmp_path_factory.mktemp("skewed")
     for name in ["orders", "customer"]:
         spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
@@ -25,6 +25,8 @@ def skewed(spark, small, tmp_path_factory):
     hot = lines.where("l_orderkey % 2 = 0").withColumns(
         {"l_orderkey": F.lit(HOT_ORDER).cast("long"), "l_partkey": F.col("l_partkey") + 1}
     )
+    if request.param == "copies of one line":
+        hot = lines.limit(1).drop("l_orderkey").crossJoin(hot.select("l_orderkey")).select(*lines.columns)
     lines.unionByName(hot).repartition(4).write.parquet(f"{folder}/lineitem.parquet")
     return str(folder)
 
@@ -63,6 +65,17 @@ def test_splitting_without_broadcast_gives_the_same_book(spark, skewed, monkeypa
     assert broadcast == shuffled
 
 
+def test_copies_are_laid_out_in_blocks(spark, monkeypatch):
+    import loanbook.sources.orders_book as module
+
+    monkeypatch.setattr(module, "_COPY_BLOCK", 10)
+    rows = spark.createDataFrame([(1, "a")] * 37 + [(1, "b")] + [(2, "a")] * 10, "k long, v string")
+    got = module._numbered_copies(rows).groupBy("k", "v").agg(F.sort_array(F.collect_list("copy")).alias("copies"))
+    assert {(r.k, r.v): r.copies for r in got.collect()} == {
+        (1, "a"): list(range(37)), (1, "b"): [0], (2, "a"): list(range(10))
+    }
+
+
 @pytest.fixture(scope="module")
 def hot_payments(spark):
     """300 instalments; the first has a third of all payments."""
