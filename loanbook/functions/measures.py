@@ -66,16 +66,17 @@ def cents_to_money(cents: Column) -> Column:
     return (cents.cast("decimal(15,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
 
 
-def scale_half_up(value: Column, factor: Column, divisor: int) -> Column:
-    """``value * factor / divisor`` on longs, rounded half away from zero, ``factor >= 0``.
+def scale_half_up(value: Column, factor: Column | int, divisor: Column | int) -> Column:
+    """``value * factor / divisor`` on longs, rounded half away from zero; only ``value`` may be negative.
 
     Whole multiples of the divisor are split off first, so that the product never
-    needs more than a long as long as the result and ``divisor * factor`` fit one.
+    needs more than a long as long as the result and ``2 * divisor * factor`` fit one.
     """
     size = F.abs(value)
-    whole = F.call_function("div", size, F.lit(divisor)) * factor
-    rest = F.call_function("div", 2 * (size % divisor) * factor + divisor, F.lit(2 * divisor))
-    return F.when(value < 0, -(whole + rest)).otherwise(whole + rest)
+    divisor = F.lit(divisor) if isinstance(divisor, int) else divisor
+    whole = F.call_function("div", size, divisor) * factor
+    rest = F.call_function("div", 2 * (size % divisor) * factor + divisor, 2 * divisor)
+    return (whole + rest) * F.when(value < 0, -1).otherwise(1)
 
 
 def count_where(condition: Column) -> Column:

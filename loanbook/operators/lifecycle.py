@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +30,7 @@ DAYS_PER_YEAR = 365
 SCHEDULE_KEY_STRIDE = 100_000
 
 _RATE_SCALE = 4
+_SHARE_SCALE = 4
 
 
 # Generated columns -----------------------------------------------------------
@@ -194,13 +196,26 @@ def derive_delinquency_events(schedule: DataFrame, payments: DataFrame, as_of: d
 
 
 def derive_contract_terms(staging: DataFrame) -> DataFrame:
-    """Add to staged contract rows everything that follows from their inputs."""
-    with_values = staging.withColumns(
+    """Add to staged contract rows everything that follows from their inputs.
+
+    Amounts are computed as whole cents in longs.  Decimal arithmetic would also
+    make the generated code too long for the JVM to compile.
+    """
+    secured = F.col("loan_type").isin(SECURED_LOANS)
+    # The loan finances what the down payment leaves of the asset; shares are in ten-thousandths.
+    whole = 10**_SHARE_SCALE
+    inputs = staging.withColumns(
         {
-            "down_payment": F.when(_secured(), _share_of_asset(F.col("down_payment_share"))).otherwise(
-                F.lit(0).cast(MONEY)
-            ),
-            "asset_value": F.when(_secured(), _share_of_asset(F.lit(1))),
+            "_cents": whole_units(F.col("requested_amount"), 2).cast("bigint"),
+            "_share": whole_units(F.col("down_payment_share"), _SHARE_SCALE).cast("bigint"),
+            "_secured": secured,
+        }
+    )
+    cents, share = F.col("_cents"), F.col("_share")
+    with_values = inputs.withColumns(
+        {
+            "_down_payment": F.when(F.col("_secured"), scale_half_up(cents, share, whole - share)).otherwise(0),
+            "_asset_value": F.when(F.col("_secured"), scale_half_up(cents, whole, whole - share)),
             "probability_of_default": default_probability(F.col("score"), _noise(staging)),
             "months_on_book": full_months(F.col("start_date"), F.col("as_of_date")),
             "maturity_date": F.add_months("start_date", F.col("term_months")),
@@ -217,36 +232,29 @@ def derive_contract_terms(staging: DataFrame) -> DataFrame:
         .otherwise("active")
     )
     closing_day = F.least("as_of_date", F.date_add("maturity_date", F.col("close_lag_days")))
-    return with_values.withColumns(
+    derived = with_values.withColumns(
         {
+            "down_payment": cents_to_money(F.col("_down_payment")),
+            "asset_value": cents_to_money(F.col("_asset_value")),
             "due_installments": F.least(F.col("term_months"), F.greatest(F.lit(0), F.col("months_on_book"))),
             "contract_status": status,
             "closed_date": F.when(status == "closed", closing_day),
         }
     )
-
-
-def _secured() -> Column:
-    return F.col("loan_type").isin(SECURED_LOANS)
-
-
-def _share_of_asset(share: Column) -> Column:
-    """``share`` of the asset whose financed part, ``1 - down_payment_share``, is the loan."""
-    scale = F.lit(10**4).cast("decimal(5,0)")
-    part = (share * 10**4).cast("decimal(5,0)")
-    financed = (scale - (F.col("down_payment_share") * 10**4).cast("decimal(5,0)")).cast("decimal(38,0)")
-    return round_to_cents(whole_units(F.col("requested_amount"), 2) * part, financed)
+    return derived.drop("_cents", "_share", "_secured", "_down_payment", "_asset_value")
 
 
 def default_probability(score: Column, noise: Column) -> Column:
     """Default probability falling linearly with the score; ``noise`` is a draw in [0, 1)."""
-    base = F.lit(PD_AT_LOWEST_SCORE).cast("decimal(4,3)")
-    slope = (score - LOWEST_SCORE) * F.lit(PD_PER_POINT).cast("decimal(5,4)")
-    spread = (noise.cast("decimal(12,9)") - F.lit("0.5").cast("decimal(2,1)")) * F.lit(PD_NOISE_WIDTH).cast(
-        "decimal(3,2)"
-    )
-    low, high = (F.lit(limit).cast("decimal(4,3)") for limit in PD_RANGE)
-    return F.round(F.greatest(low, F.least(high, base - slope + spread)), 6).cast("decimal(8,6)")
+    spread = F.floor((noise - 0.5) * _millionths(PD_NOISE_WIDTH) + 0.5)
+    trend = _millionths(PD_AT_LOWEST_SCORE) - (score - LOWEST_SCORE) * _millionths(PD_PER_POINT)
+    low, high = (F.lit(_millionths(limit)).cast("bigint") for limit in PD_RANGE)
+    clamped = F.greatest(low, F.least(high, trend + spread))
+    return (clamped.cast("decimal(8,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(8,6)")
+
+
+def _millionths(number: str) -> int:
+    return int(Decimal(number) * 10**6)
 
 
 def _noise(staging: DataFrame) -> Column:
