@@ -17,10 +17,13 @@ def full_months(start: Column, end: Column) -> Column:
     A month counts once its day of month is reached; month ends get no special
     treatment (31 January to 29 February is no full month).
     """
-    months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
-    short = (F.day(end) < F.day(start)).cast("int")
-    over = (F.day(end) > F.day(start)).cast("int")
-    return F.when(start <= end, months - short).otherwise(months + over)
+    # With room for every day of a month, whole months are what is left of the
+    # difference after a division towards zero, whichever date comes first.
+    return F.call_function("div", _day_number(end) - _day_number(start), F.lit(32)).cast("int")
+
+
+def _day_number(day: Column) -> Column:
+    return (F.year(day) * 12 + F.month(day)) * 32 + F.day(day)
 
 
 def month_start(day: Column) -> Column:
