@@ -137,7 +137,7 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "dq_snapshot_grain": lambda b: quality.snapshot_grain(damaged_snapshot(b.snapshot)),
     # Validation of a load
     "batch_entity_counts": lambda b: validation.batch_entity_counts(
-        b.contracts, b.wide_schedule, b.payments, b.delinquency_events
+        b.contracts, b.schedule, b.payments, b.delinquency_events
     ),
     "contract_status_counts": lambda b: validation.contract_status_counts(b.contracts),
     "open_dpd_distribution": lambda b: validation.open_dpd_distribution(

@@ -21,7 +21,7 @@ def audit_checks(book: LoanBook) -> DataFrame:
 
 def audit_not_null(book: LoanBook) -> DataFrame:
     """NULLs in each column that must have a value."""
-    return _counted(book, "column_name", lambda t: {name: F.col(name).isNull() for name in t.required})
+    return _counted(book, "column_name", lambda t: {name: F.expr(f"{name} IS NULL") for name in t.required})
 
 
 def audit_text_lengths(book: LoanBook) -> DataFrame:
@@ -29,7 +29,7 @@ def audit_text_lengths(book: LoanBook) -> DataFrame:
     return _counted(
         book,
         "column_name",
-        lambda t: {name: F.length(name) > limit for name, limit in TEXT_LIMITS.get(t.name, {}).items()},
+        lambda t: {name: F.expr(f"length({name}) > {limit}") for name, limit in TEXT_LIMITS.get(t.name, {}).items()},
     )
 
 
@@ -123,10 +123,8 @@ def _counted(book: LoanBook, label: str, broken) -> DataFrame:
         if not rules:
             continue
         counts = df.agg(*[F.count_if(rule).alias(rule_name) for rule_name, rule in rules.items()])
-        pairs = [F.struct(F.lit(n).alias(label), F.col(n).alias("violations")) for n in rules]
+        pairs = ", ".join(f"'{n}', {n}" for n in rules)
         parts.append(
-            counts.select(F.inline(F.array(*pairs))).select(
-                F.lit(name).alias("table_name"), label, "violations"
-            )
+            counts.selectExpr(f"'{name}' AS table_name", f"stack({len(rules)}, {pairs}) AS ({label}, violations)")
         )
     return reduce(DataFrame.unionByName, parts)

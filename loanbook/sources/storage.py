@@ -88,7 +88,9 @@ def shared_folder(spark: SparkSession) -> str | None:
     if base:
         path = f"{base.rstrip('/')}/loanbook-{uuid.uuid4().hex}"
         target = _path(spark, path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
         return path
     if spark.sparkContext.master.startswith("local"):
         path = tempfile.mkdtemp(prefix="loanbook-")
