@@ -17,6 +17,14 @@ from loanbook.sources.defects import damaged_book, damaged_snapshot
 from loanbook.sources.orders_book import AS_OF, OrdersBook
 from loanbook.sources.storage import append_batch, read_book, shared_folder
 
+try:
+    import corpus_pipeline
+    from loanbook.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if (missing.name or "").split(".")[0] not in {"corpus_pipeline", "loanbook"}:
+        raise
+    llm = corpus_pipeline = None
+
 _BOOKS: dict[tuple[str, str], OrdersBook] = {}
 
 
@@ -179,10 +187,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def registered(build: Callable[[OrdersBook], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(_book(spark, sf_dir))
 
-    return {name: registered(build) for name, build in _QUERIES.items()}
+    found = {name: registered(build) for name, build in _QUERIES.items()}
+    if llm is not None:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.reports import ORACLE
 
-    return {name: ORACLE[name] for name in _QUERIES if name in ORACLE}
+    found = {name: ORACLE[name] for name in _QUERIES if name in ORACLE}
+    if llm is not None:
+        found |= llm.ORACLE
+    return found

@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as registered
 import compare
 
-QUERIES = registered.queries()
-ORACLE = registered.oracle_sql()
+QUERIES = {name: query for name, query in registered.queries().items() if name in registered._QUERIES}
+ORACLE = {name: sql for name, sql in registered.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
