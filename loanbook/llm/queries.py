@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import mixing
+from loanbook.llm import mixing, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -23,15 +23,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), vocabulary(), Limits())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
