@@ -77,8 +77,8 @@ class Block:
         inverse = powers(len(self.data) + 1)[1]
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
-    def words(self) -> Words:
-        inside = ~_WHITE[self.data]
+    def words(self, separators: np.ndarray = _WHITE) -> Words:
+        inside = ~separators[self.data]
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]
