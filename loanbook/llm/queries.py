@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import mixing, near_duplicates, neighbours, quality, toxicity, warc
+from loanbook.llm import licences, mixing, near_duplicates, neighbours, quality, toxicity, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -39,6 +39,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
+    "op6_licences": op6_licences,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_packing": op10_packing,
 }
@@ -60,4 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op6_licences": licences.oracle(),
 }
