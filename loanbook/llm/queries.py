@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import licences, lines, mixing, near_duplicates, neighbours, quality, toxicity, warc
+from loanbook.llm import licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -43,6 +43,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_table(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
     "op6_licences": op6_licences,
+    "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lines": op9_lines,
     "op10_packing": op10_packing,
