@@ -31,11 +31,11 @@ def test_entry_has_rows(spark):
 # Figures of the derived book on the smallest tables, worked out beforehand.
 def test_known_figures(spark, small):
     kpis = QUERIES["portfolio_kpis"](spark, small).first()
-    assert (kpis.total_contracts, kpis.delinquent_contracts) == (1246, 337)
-    assert (kpis.dpd_30_plus_contracts, kpis.dpd_90_plus_contracts) == (261, 142)
-    assert str(kpis.total_outstanding) == "1937478683.70"
-    assert str(kpis.total_overdue) == "288910402.90"
+    assert (kpis.total_contracts, kpis.delinquent_contracts) == (1265, 464)
+    assert (kpis.dpd_30_plus_contracts, kpis.dpd_90_plus_contracts) == (363, 205)
+    assert str(kpis.total_outstanding) == "2057190975.50"
+    assert str(kpis.total_overdue) == "403164572.70"
     buckets = [r.contract_count for r in QUERIES["dpd_bucket_summary"](spark, small).collect()]
-    assert buckets == [909, 79, 58, 58, 142]
+    assert buckets == [801, 104, 86, 69, 205]
     listed = QUERIES["high_risk_watchlist"](spark, small).groupBy("priority").count().collect()
-    assert dict(map(tuple, listed)) == {"Critical": 178, "High": 65, "Medium": 56}
+    assert dict(map(tuple, listed)) == {"Critical": 217, "High": 85, "Medium": 85}
