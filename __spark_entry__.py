@@ -102,21 +102,27 @@ def _normalise_batch(b: OrdersBook) -> DataFrame:
 
 
 def _append_batch(b: OrdersBook) -> DataFrame:
-    """Load the contracts of one run, then of all runs, and count what is stored."""
+    """Load one run without most of its payments, then all runs; count what is stored and what was refused."""
     root = shared_folder(b.spark)
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    contracts = normalise.normalise_table(b.terms, "loan_contracts", b.loaded_at)
-    append_batch(LoanBook(loan_contracts=contracts.where(F.col(RUN_KEY) == "RUN1")), root)
-    append_batch(LoanBook(loan_contracts=contracts), root)  # leaves the first run as it is
-    return (
-        read_book(b.spark, root)
-        .loan_contracts.groupBy(RUN_KEY)
-        .agg(
-            F.count("*").alias("stored_contracts"),
-            F.sum("principal_amount").cast("decimal(25,2)").alias("stored_principal"),
-        )
+    book = b.book.with_tables(
+        **{name: normalise.normalise_table(b.terms, name, b.loaded_at) for name in ("loan_collateral", "loan_disbursements")}
     )
+    first = {name: df.where(F.col(RUN_KEY) == "RUN1") for name, df in book.tables().items()}
+    first["payments"] = first["payments"].where(F.col("payment_id") % 10 == 2)
+    append_batch(LoanBook(**first), root)
+    report = append_batch(book, root)
+    refused = b.spark.createDataFrame([(r.table, r.refused) for r in report], "table_name string, refused_rows long")
+    stored = read_book(b.spark, root).tables()
+    parts = [
+        df.groupBy(RUN_KEY).agg(F.count("*").alias("stored_rows")).select(F.lit(name).alias("table_name"), RUN_KEY, "stored_rows")
+        for name, df in stored.items()
+    ]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    return counts.join(refused, "table_name")
 
 
 _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {

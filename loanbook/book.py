@@ -34,9 +34,14 @@ class LoanBook:
         return replace(self, **tables)
 
     def register_views(self, prefix: str = "") -> None:
-        """Expose every table to ``spark.sql`` under its own name."""
+        """Expose every table, and the mart where its tables are there, to ``spark.sql`` under its own name."""
+        from loanbook.operators.snapshot import portfolio_snapshot
+
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
+        sources = (self.loan_contracts, self.payment_schedule, self.payments, self.delinquency_events)
+        if all(df is not None for df in sources):
+            portfolio_snapshot(*sources).createOrReplaceTempView(f"{prefix}portfolio_snapshot")
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Lending tables as Parquet folders, one per table.
 
-Batches are appended and never rewritten.  A batch spans several tables, so it
-counts as loaded once its run key stands in the list of loaded runs, written
-last; a load that died half way is invisible to readers and is redone in full.
+Rows are appended and never rewritten.  Each append is a load with an id of its own and
+writes to folders of that id only; it counts once its tables, runs and row counts stand in
+the list of loads, written last.  Readers read the listed folders and nothing else, so
+what a load that died left behind is never seen, and redoing it needs no clean-up.
+
+Rows whose key is stored already are refused and reported; all others are accepted,
+whether their run is new or known.  Two loads that run at the same time do not see each
+other's rows: load one batch from one place.
 """
 
 from __future__ import annotations
@@ -11,14 +16,31 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from loanbook.book import LoanBook, conform
 from loanbook.schemas import RUN_KEY, TABLES
 
-_RUNS = "loaded_runs"
-_RUN_SCHEMA = T.StructType([T.StructField(RUN_KEY, T.StringType(), False)])
+_LOADS = "loads"
+_LOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("load_id", T.StringType(), False),
+        T.StructField("table_name", T.StringType(), False),
+        T.StructField(RUN_KEY, T.StringType(), False),
+        T.StructField("added", T.LongType(), False),
+    ]
+)
+
+
+@dataclass(frozen=True)
+class Appended:
+    """What became of one table of a load."""
+
+    table: str
+    added: int
+    refused: int
 
 
 def stored_schema(table: str) -> T.StructType:
@@ -27,50 +49,83 @@ def stored_schema(table: str) -> T.StructType:
     return T.StructType(columns + [T.StructField(RUN_KEY, T.StringType(), True)])
 
 
-def loaded_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run keys of the batches that were loaded completely."""
-    path = f"{root}/{_RUNS}"
+def loads(spark: SparkSession, root: str) -> DataFrame:
+    """(load_id, table_name, run key, rows added) of all completed loads."""
+    path = f"{root}/{_LOADS}"
     if not _exists(spark, path):
-        return spark.createDataFrame([], _RUN_SCHEMA)
-    return spark.read.schema(_RUN_SCHEMA).parquet(path).distinct()
+        return spark.createDataFrame([], _LOAD_SCHEMA)
+    return spark.read.schema(_LOAD_SCHEMA).parquet(path)
 
 
-def append_batch(book: LoanBook, root: str) -> bool:
-    """Add the runs of ``book`` that are not stored yet; False if there are none.
+def append_batch(book: LoanBook, root: str) -> list[Appended]:
+    """Store the rows of ``book`` whose keys are not stored yet, and report per table.
 
-    Rows of stored runs are never touched.  Only leftovers of a load that did not
-    finish can be replaced, and only by the same run.
+    Every row must name its run; otherwise nothing is stored and an error is raised.  Of
+    rows that repeat a key within the batch one is stored.
     """
     tables = {name: conform(df, name) for name, df in book.tables().items()}
     spark = next(iter(tables.values())).sparkSession
-    stored = loaded_runs(spark, root)
-    runs = tables.get("loan_contracts", next(iter(tables.values()))).select(RUN_KEY).distinct()
-    new_runs = runs.join(stored, RUN_KEY, "left_anti")
-    if new_runs.isEmpty():
-        return False
+    stored, load_id = _read_loads(spark, root), uuid.uuid4().hex
+    offered = {}
     for name, df in tables.items():
-        (
-            df.join(stored, RUN_KEY, "left_anti")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")  # the folders of these runs only
-            .partitionBy(RUN_KEY)
-            .parquet(f"{root}/{name}")
-        )
-    new_runs.coalesce(1).write.mode("append").parquet(f"{root}/{_RUNS}")
-    return True
+        if RUN_KEY not in df.columns:
+            raise ValueError(f"{name} has no column {RUN_KEY}")
+        rows, keyless = df.agg(F.count("*"), F.count_if(F.col(RUN_KEY).isNull())).first()
+        if keyless:
+            raise ValueError(f"{name} has {keyless} rows without {RUN_KEY}; nothing was stored")
+        offered[name] = rows
+    report, listed = [], []
+    for name, df in tables.items():
+        key = TABLES[name].key
+        new = df.dropDuplicates([key])
+        if name in stored:
+            new = new.join(stored[name].select(key), key, "left_anti").select(df.columns)
+        path = _load_path(root, name, load_id)
+        new.write.parquet(path)
+        per_run = spark.read.schema(stored_schema(name)).parquet(path).groupBy(RUN_KEY).count().collect()
+        added = sum(row["count"] for row in per_run)
+        listed += [(load_id, name, row[RUN_KEY], row["count"]) for row in per_run]
+        report.append(Appended(name, added, offered[name] - added))
+    if listed:
+        spark.createDataFrame(listed, _LOAD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{_LOADS}")
+    return report
 
 
 def read_book(spark: SparkSession, root: str) -> LoanBook:
-    """The stored tables, limited to completely loaded runs."""
-    runs = loaded_runs(spark, root)
+    """The rows of all completed loads.  A folder without a list of loads is an error."""
+    if not _exists(spark, f"{root}/{_LOADS}"):
+        raise FileNotFoundError(f"{root} has no list of loads; read plain tables with read_tables")
+    return LoanBook(**_read_loads(spark, root))
+
+
+def read_tables(spark: SparkSession, root: str) -> LoanBook:
+    """Plain tables, ``{root}/{table}`` or ``{root}/{table}.parquet``, in their declared types.
+
+    Tables that are not there stay None; a run key is read where the files have one.
+    """
     tables = {}
     for name in TABLES:
-        path = f"{root}/{name}"
-        if _exists(spark, path):
-            tables[name] = spark.read.schema(stored_schema(name)).parquet(path).join(runs, RUN_KEY, "left_semi")
+        for path in (f"{root}/{name}", f"{root}/{name}.parquet"):
+            if _exists(spark, path):
+                tables[name] = conform(spark.read.parquet(path), name)
+                break
     return LoanBook(**tables)
 
 
+def _load_path(root: str, table: str, load_id: str) -> str:
+    return f"{root}/{table}/load_id={load_id}"
+
+
+def _read_loads(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    # One row per table and load: as many as there were loads, not as there are rows.
+    paths: dict[str, list[str]] = {}
+    for row in loads(spark, root).select("table_name", "load_id").distinct().collect():
+        paths.setdefault(row.table_name, []).append(_load_path(root, row.table_name, row.load_id))
+    return {
+        name: spark.read.schema(stored_schema(name)).parquet(*sorted(paths[name])) for name in TABLES if name in paths
+    }
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Store a frame and read it back, which ends its lineage at the files."""
     df.write.mode("overwrite").parquet(path)

@@ -327,9 +327,21 @@ _RAW["normalise_batch"] = "\nUNION ALL\n".join(
 for _table, _part in _NORMALISED.items():
     _RAW[f"normalise_{_table}"] = f"SELECT * EXCLUDE (run_key) FROM {_part}" if _part == "batch_contracts" else f"SELECT * FROM {_part}"
 
-_RAW["append_batch"] = """
-SELECT run_key, count(*) AS stored_contracts, CAST(sum(principal_amount) AS DECIMAL(25,2)) AS stored_principal
-FROM batch_contracts GROUP BY run_key
+_PER_CONTRACT = [
+    "customers", "customer_income", "income_verifications", "loan_applications", "application_decisions", "loan_disbursements",
+]
+_WITH_RUN = ["loan_contracts", "application_scores", "payment_schedule", "delinquency_events"]
+_RAW["append_batch"] = f"""
+SELECT table_name, run_key, count(*) AS stored_rows,
+       CAST(sum(sum(CASE WHEN run_key = 'RUN1' AND early THEN 1 ELSE 0 END)) OVER (PARTITION BY table_name) AS BIGINT)
+           AS refused_rows
+FROM ({" UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, run_key, TRUE AS early FROM terms" for t in _PER_CONTRACT]
+    + ["SELECT 'loan_collateral', run_key, TRUE FROM terms WHERE loan_type <> 'consumer_loan'"]
+    + [f"SELECT '{t}', run_key, TRUE FROM {t}" for t in _WITH_RUN]
+    + ["SELECT 'payments', run_key, payment_id % 10 = 2 FROM payments"]
+)}) x
+GROUP BY table_name, run_key
 """
 
 ORACLE: dict[str, str] = {name: compose(sql, PARTS) for name, sql in _RAW.items()}
