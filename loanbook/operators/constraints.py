@@ -85,23 +85,33 @@ def audit_uniqueness(book: LoanBook) -> DataFrame:
 
     ``violations`` counts the rows beyond the first of each key; NULLs never
     collide.
+
+    Every table is read once: its keys are laid out as one row per constraint, and all are
+    counted together.
     """
-    parts = []
+    parts, rules = [], []
     for name, df in book.tables().items():
-        for unique in TABLES[name].uniques:
-            repeated = duplicate_keys(df, unique.columns)
-            parts.append(
-                repeated.agg(
-                    F.count("*").alias("repeated_keys"),
-                    F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("violations"),
-                ).select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(unique.name).alias("constraint_name"),
-                    "repeated_keys",
-                    "violations",
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+        uniques = TABLES[name].uniques
+        keys = [F.struct(F.lit(unique.name).alias("constraint_name"), _key_text(unique.columns).alias("key")) for unique in uniques]
+        parts.append(df.select(F.lit(name).alias("table_name"), F.inline(F.array(*keys))).where("key IS NOT NULL"))
+        rules += [(name, unique.name) for unique in uniques]
+    found = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("table_name", "constraint_name", "key")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("table_name", "constraint_name")
+        .agg(F.count_if(F.col("rows") > 1).alias("repeated_keys"), F.sum(F.col("rows") - 1).alias("violations"))
+    )
+    every = found.sparkSession.createDataFrame(rules, "table_name string, constraint_name string")
+    # One row per rule on either side.
+    return every.join(F.broadcast(found), ["table_name", "constraint_name"], "left").fillna(0, ["repeated_keys", "violations"])
+
+
+def _key_text(columns: tuple[str, ...]) -> Column:
+    """The key as text, NULL if any part is."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    return F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]), F.to_json(F.struct(*columns)))
 
 
 def duplicate_keys(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
