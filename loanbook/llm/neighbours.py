@@ -159,10 +159,11 @@ def _best(ids: np.ndarray, rows: np.ndarray, near: np.ndarray, query: np.ndarray
 
 
 def _rank(pairs: DataFrame, top: int) -> DataFrame:
-    """(k1, k2, vec_id, score): the best of each query in each pack of rows."""
+    """(k1, k2, vec_id, score): the best of each query among the packs that a task reads at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for i in range(len(batch)):
                 k1, k2 = (np.array(batch.column(n)[i].values) for n in ("k1s", "k2s"))
                 queries = batch.column("vectors")[i].values.to_numpy().reshape(len(k1), -1)
@@ -171,17 +172,25 @@ def _rank(pairs: DataFrame, top: int) -> DataFrame:
                 near = _unit(queries) @ _unit(rows).T
                 found = [_best(ids, rows, near[q], queries[q], top) for q in range(len(k1))]
                 many = [len(f[0]) for f in found]
+                both = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+                parts.append((np.repeat(k1, many), np.repeat(k2, many), *both))
+            if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(k1, many)), pa.array(np.repeat(k2, many)),
-                        pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found])),
-                    ],
-                    names=[*_KEY, "vec_id", "score"],
-                )
+                    [pa.array(c) for c in _first(*map(np.concatenate, zip(*parts)), top)], names=[*_KEY, "vec_id", "score"]
+                )
 
     return pairs.mapInArrow(run, "k1 long, k2 long, vec_id long, score double")
 
 
+def _first(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> list[np.ndarray]:
+    """The ``top`` best rows of each query, ties to smaller ids."""
+    order = np.lexsort((ids, -score, k2, k1))
+    k1, k2, ids, score = (c[order] for c in (k1, k2, ids, score))
+    start = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))
+    place = np.arange(len(k1)) - np.repeat(start, np.diff(np.append(start, len(k1))))
+    return [c[place < top] for c in (k1, k2, ids, score)]
+
+
 def search(
     vectors: DataFrame,
     is_query: str,
