@@ -133,7 +133,7 @@ def spread(covariance: np.ndarray) -> np.ndarray:
 
 def distances(x: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> np.ndarray:
     centred = x - mean
-    return np.einsum("ij,jk,ik->i", centred, np.linalg.inv(covariance), centred)
+    return (centred @ np.linalg.inv(covariance) * centred).sum(axis=1)
 
 
 def concentrate(x: np.ndarray, starts: int = 8, steps: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
