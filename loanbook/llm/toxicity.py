@@ -75,7 +75,7 @@ def read(block: Block) -> Reading:
     inside = at < counts[text][:, None]
     at = np.where(inside, at + first_word[text][:, None], 0)
     windows = np.where(inside, kind[at] if len(kind) else 0, -1)
-    return Reading((types % BUCKETS).astype(np.int64), grams, first_gram, windows, text, lower.texts)
+    return Reading((types % BUCKETS).astype(np.int32), grams, first_gram, windows.astype(np.int32), text, lower.texts)
 
 
 def _grams(block: Block, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def _grams(block: Block, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray)
         codes += [code, mix(code[at == starts[owner]] ^ _MARKS[0]), mix(code[at + n == ends[owner]] ^ _MARKS[1])]
     owner, code = np.concatenate(owners), np.concatenate(codes)
     order = np.argsort(owner, kind="stable")
-    return (code[order] % BUCKETS).astype(np.int64), runs(owner[order])
+    return (code[order] % BUCKETS).astype(np.int32), runs(owner[order])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
