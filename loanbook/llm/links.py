@@ -1,11 +1,19 @@
 """From buckets of candidates to classes of linked nodes, without listing all pairs.
 
-A bucket holds nodes that may be similar.  First every node is compared with the smallest
-of its bucket only, and verified links are joined into components.  A bucket whose nodes
-all lie in one component needs nothing more.  In the others, the nodes outside the
-bucket's largest component are compared with all nodes of other components.  So every
-pair that shares a bucket ends in one component or has been compared: no link between
-components is lost, and a large group of near copies costs few comparisons a node.
+A bucket holds nodes that may be similar.  First every node is compared with the most
+central of its bucket only, the one whose buckets hold the most nodes, and verified links
+are joined into components.  The original of many copies is in more and larger buckets
+than each copy is, so its copies meet it even where they are too far from each other.
+
+A bucket whose nodes all lie in one component needs nothing more.  Of the others, those of
+a few nodes are compared pair by pair across components, and the nodes of larger ones are
+joined across components by a prefix filter, which is exact.  Where two nodes have the
+parts ``x`` and ``y`` of their weights in common, neither Jaccard nor probability Jaccard
+similarity exceeds ``1 / (1 / x + 1 / y - 1)``.  With the features of all nodes in one
+order, rare ones first, what a node has before the first common feature is not common; so
+similar nodes meet at a feature before which both have little.  No link between components
+is lost, and a large group of near copies costs few comparisons a node: what sets a copy
+apart is rare, and what all copies share comes last.
 """
 
 from __future__ import annotations
@@ -17,6 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loanbook.llm.storage import stored
 
 Verify = Callable[[DataFrame], DataFrame]
+Features = Callable[[DataFrame], DataFrame]
+FEW_NODES = 16
+"""Buckets of at most this many nodes are compared pair by pair."""
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -49,38 +60,65 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return stored(found, f"{name}-components")
 
 
-def link_buckets(members: DataFrame, verify: Verify, name: str) -> DataFrame:
+def across_components(placed: DataFrame, features: Features, similarity: float, name: str) -> DataFrame:
+    """(a, b) pairs of (node, component) rows of different components that may be similar enough."""
+    weights = stored(features(placed.select("node")), f"{name}-features")  # (node, feature, share)
+    often = weights.groupBy("feature").agg(F.count("*").alias("nodes"))
+    before = Window.partitionBy("node").orderBy("nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
+    most = 1 + 1 / similarity + 1e-9
+    prefix = (
+        weights.join(often, "feature")
+        .withColumn("passed", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+        .where((F.col("passed") <= 1 - similarity + 1e-9) & (F.col("nodes") > 1))
+        .join(placed, "node")
+        .select("feature", "node", "component", (1 / (1 - F.col("passed"))).alias("rest"))
+    )
+    prefix = stored(prefix, f"{name}-prefix")
+    other = prefix.toDF("feature", "b", "apart", "other_rest")
+    meet = (
+        (prefix["feature"] == other["feature"])
+        & (prefix["node"] < other["b"])
+        & (prefix["component"] != other["apart"])
+        & (prefix["rest"] + other["other_rest"] <= most)
+    )
+    return prefix.join(other, meet).select(F.col("node").alias("a"), "b").distinct()
+
+
+def link_buckets(members: DataFrame, verify: Verify, features: Features, similarity: float, name: str) -> DataFrame:
     """(node, component) of all nodes that are linked to another.
 
     ``members`` holds (bucket, node); a row may repeat.  ``verify`` keeps of (a, b) rows
-    those that are links.
+    those that are links: nodes whose Jaccard or probability Jaccard similarity is at least
+    ``similarity``.
+    ``features`` gives (node, feature, share) of nodes: what they are made of, and the part
+    of the node's weight that each holds.
     """
-    ends = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    shared = stored(
-        members.join(ends.where("leader <> last").select("bucket", "leader"), "bucket").distinct(), f"{name}-shared"
-    )
-    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    ends = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
+    crowded = stored(members.join(ends.select("bucket"), "bucket", "left_semi").distinct(), f"{name}-crowded")
+    sizes = crowded.groupBy("bucket").agg(F.count("*").alias("size"))
+    scores = crowded.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("score"))
+    leaders = crowded.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
+    shared = stored(crowded.join(leaders, "bucket"), f"{name}-shared")
+    ends_of = (F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    stars = shared.where("node <> leader").select(*ends_of).distinct()
     links = stored(verify(stars), f"{name}-links")
     known = components(links, name)
 
     placed = shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(
-        F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("parts")
-    )
-    split = stored(
-        placed.join(largest.where("parts > 1").select("bucket", "largest"), "bucket").where("node <> leader"),
-        f"{name}-split",
-    )
-    rest = split.where("component <> largest").select(
-        "bucket", F.col("node").alias("other"), F.col("component").alias("apart")
+    sizes = placed.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")
     )
+    split = stored(placed.join(sizes.where("x <> y").select("bucket", "size"), "bucket"), f"{name}-split")
+    # In a small bucket the pairs themselves are few; the others go through the prefix filter.
+    few = split.where(F.col("size") <= FEW_NODES).select("bucket", "node", "component")
+    other = few.toDF("bucket", "b", "apart")
     pairs = (
-        split.join(rest, "bucket")
-        .where((F.col("component") != F.col("apart")) & ((F.col("component") == F.col("largest")) | (F.col("node") < F.col("other"))))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
+        few.join(other, "bucket")
+        .where((F.col("node") < F.col("b")) & (F.col("component") != F.col("apart")))
+        .select(F.col("node").alias("a"), "b")
     )
+    apart = split.where(F.col("size") > FEW_NODES).select("node", "component").distinct()
+    pairs = pairs.unionByName(across_components(apart, features, similarity, name)).distinct()
     more = stored(verify(pairs), f"{name}-more")
     if more.isEmpty():
         return known

@@ -5,6 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loanbook.llm.links import components, link_buckets
 
 
@@ -30,33 +32,57 @@ def test_components(spark, shape):
     assert got == brute({n for e in real for n in e}, real)
 
 
-def test_bucket_links_lose_nothing(spark):
-    """Every verified pair that shares a bucket ends in one component."""
-    rng = np.random.default_rng(2)
-    for trial in range(3):
-        rows = [(int(b), int(n)) for b in range(12) for n in rng.integers(0, 60, rng.integers(1, 25))]
-        rows += rows[:10]
-        true = {p for p in combinations(range(60), 2) if rng.random() < (0.02, 0.08, 0.3)[trial]}
-        links = spark.createDataFrame([*true], "a long, b long")
-        shown = []
-
-        def verify(pairs):
-            shown.append(pairs.count())
-            return pairs.join(links, ["a", "b"])
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
 
-        got = {r.node: r.component for r in link_buckets(spark.createDataFrame(rows, "bucket long, node long"), verify, "t").collect()}
-        together = {tuple(sorted(p)) for b in range(12) for p in combinations({n for k, n in rows if k == b}, 2)}
-        edges = true & together
-        assert got == brute({n for e in edges for n in e}, edges)
 
-
-def test_large_group_costs_few_comparisons(spark):
-    rows = [(b, n) for b in range(5) for n in range(2000)]
-    shown = []
+def run(spark, rows, sets, similarity, shown):
+    """link_buckets over sets of numbers with their Jaccard similarity."""
+    table = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, parts array<long>")
 
     def verify(pairs):
         shown.append(pairs.count())
-        return pairs.where("b % 100 <> 7")
+        one, other = table.toDF("a", "left"), table.toDF("b", "right")
+        common = F.size(F.array_intersect("left", "right")) / F.size(F.array_union("left", "right"))
+        return pairs.join(one, "a").join(other, "b").where(common >= similarity).select("a", "b")
+
+    def features(nodes):
+        return nodes.join(table, "node").select("node", F.explode("parts").alias("feature"), (1 / F.size("parts")).alias("share"))
 
-    link_buckets(spark.createDataFrame(rows, "bucket long, node long"), verify, "t")
-    assert shown[0] == 1999 and shown[1] <= 20 * 2000
+    members = spark.createDataFrame(rows, "bucket long, node long")
+    return {r.node: r.component for r in link_buckets(members, verify, features, similarity, "t").collect()}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_bucket_links_lose_nothing(spark, similarity):
+    """Every similar pair that shares a bucket ends in one component, and only similar ones do."""
+    rng = np.random.default_rng(2)
+    sets = {}
+    for n in range(120):
+        base = set(map(int, rng.integers(0, 3000, 40))) if n % 12 == 0 else sets[n - int(rng.integers(1, n % 12 + 1))]
+        sets[n] = set(list(base)[int(rng.integers(0, 9)) :]) | set(map(int, rng.integers(0, 3000, rng.integers(0, 6))))
+    rows = [(int(b), int(n)) for b in range(6) for n in rng.integers(0, 120, 80)] + [(7, 3), (8, 5)]
+    rows += [(int(b), int(n)) for b in range(10, 20) for n in rng.integers(0, 120, 9)]
+    got = run(spark, rows, sets, similarity, [])
+    together = {tuple(sorted(p)) for b in range(20) for p in combinations({n for k, n in rows if k == b}, 2)}
+    edges = {p for p in together if jaccard(sets[p[0]], sets[p[1]]) >= similarity}
+    every = {p for p in combinations(range(120), 2) if jaccard(sets[p[0]], sets[p[1]]) >= similarity}
+    want, most = brute({n for e in edges for n in e}, edges), brute(range(120), every)
+    assert all(got[a] == got[b] for a, b in edges) and set(want) <= set(got)
+    assert all(most[n] == most[c] for n, c in got.items())
+
+
+def test_large_group_costs_few_comparisons(spark):
+    """Copies with parts of their own: most near the original, the others near nothing."""
+    rng = np.random.default_rng(4)
+    base = list(range(100))
+    sets = {0: set(base)}
+    for n in range(1, 1500):
+        gone = int(rng.integers(2, 9) if n % 3 else rng.integers(22, 40))
+        sets[n] = set(rng.permutation(base)[gone:].tolist()) | {1000 * n + k for k in range(gone)}
+    rows = [(b, n) for b in range(4) for n in sets] + [(100 + n, k) for n in range(1, 40) for k in (0, n)]
+    shown = []
+    got = run(spark, rows, sets, 0.8, shown)
+    near = {n for n in sets if jaccard(sets[0], sets[n]) >= 0.8}
+    assert near <= set(got) and {got[n] for n in near} == {0}
+    assert shown[0] < 2 * 1500 and shown[1] <= 10 * 1500
