@@ -219,17 +219,23 @@ def _scan_contexts(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
     Rows are in the order of the documents and starts, so of the occurrences of a repeat
     the one with the smallest (document, start) is the earliest.
     """
-    array = SuffixArray(rows["data"].tolist())
+    contexts = rows["data"].tolist()
+    array = SuffixArray(contexts)
     document, start = rows["document"].to_numpy(), rows["start"].to_numpy()
-    lost: list[tuple[int, int, int]] = []
+    # +1 where a range begins and -1 where it ends; repeats within repeats overlap.
+    edges = np.zeros((len(contexts), max(map(len, contexts)) - LENGTH + 2), dtype=np.int64)
     for length, first, last in array.maximal_repeats():
         row, place = array.row[first : last + 1], array.place[first : last + 1]
         own, at = document[row], start[row] + place
         earliest = np.lexsort((at, own))[0]
         later = (own != own[earliest]) | (at != at[earliest])
-        strings = length - LENGTH + 1
-        lost += [(int(r), int(p), int(p) + strings) for r, p in zip(row[later], place[later])]
-    return lost
+        np.add.at(edges, (row[later], place[later]), 1)
+        np.add.at(edges, (row[later], place[later] + length - LENGTH + 1), -1)
+    inside = np.cumsum(edges, axis=1) > 0
+    change = np.diff(np.pad(inside, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(change == 1)
+    _, end = np.nonzero(change == -1)
+    return list(zip(row.tolist(), first.tolist(), end.tolist()))
 
 
 def repeated_strings(documents: DataFrame) -> DataFrame:
