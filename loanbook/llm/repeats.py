@@ -13,6 +13,9 @@ anchor, wherever they are, and no others need to:
    tree; intervals whose left extensions differ are the maximal repeats, each with all its
    occurrences, and all but the earliest lose the bytes.
 
+   An anchor of more than ``MOST_CONTEXTS`` classes has no such array: its strings of
+   ``LENGTH`` bytes are grouped by their hashes, and all but the earliest of each are later.
+
 All steps but the scan of one bucket of contexts are joins and aggregations that combine
 before they shuffle.
 """
@@ -37,7 +40,10 @@ _GRAMS = LENGTH - GRAM + 1
 _PLACE_BITS = 20
 _PLACES = np.uint64((1 << _PLACE_BITS) - 1)
 _PIECE = 1 << 19
+_STRING_ROWS = 1 << 10
 BUCKET_CONTEXTS = 20_000
+MOST_CONTEXTS = 2_000
+"""Anchors of more different contexts than this are not scanned in one task."""
 
 
 def _pieces(block: Block) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
@@ -182,35 +188,40 @@ def _anchored(documents: DataFrame) -> DataFrame:
 
 def _with_contexts(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """Add the bytes of the runs ``firsts`` to them."""
-    wanted = firsts.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
-        F.collect_list(F.struct("anchor", "context", "start", "strings")).alias("wanted")
-    )
-    same = documents["id"].eqNullSafe(wanted["_id"]) & (documents["version"] == wanted["_version"])
-    joined = documents.join(wanted, same).select("id", "version", F.col("text").cast("binary").alias("text"), "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(3)
-            rows = pa.array(np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy()))
-            parts = wanted.flatten()
-            anchor, context, start, strings = (parts.field(i) for i in range(4))
-            texts, row = batch.column(2), rows.to_numpy()
-            at, end = start.to_numpy(), start.to_numpy() + strings.to_numpy() + LENGTH - 1
-            views = {int(r): memoryview(texts[int(r)].as_buffer()) for r in np.unique(row)}
-            data = [bytes(views[int(r)][a:b]) for r, a, b in zip(row, at, end)]
-            yield pa.RecordBatch.from_arrays(
-                [anchor, context, batch.column(0).take(rows), batch.column(1).take(rows), start, strings,
-                 pa.array(data, pa.binary())],
-                names=["anchor", "context", "id", "version", "start", "strings", "data"],
-            )
-
     schema = StructType(
         [
             StructField("anchor", LongType()), StructField("context", LongType()), *documents.select("id", "version").schema,
             StructField("start", IntegerType()), StructField("strings", IntegerType()), StructField("data", BinaryType()),
         ]
     )
-    return joined.mapInArrow(run, schema)
+    return _wanted(documents, firsts).mapInArrow(_cut, schema)
+
+
+def _wanted(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, version, text, wanted): the documents that hold runs of ``firsts``, with these."""
+    wanted = firsts.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
+        F.collect_list(F.struct("anchor", "context", "start", "strings")).alias("wanted")
+    )
+    same = documents["id"].eqNullSafe(wanted["_id"]) & (documents["version"] == wanted["_version"])
+    return documents.join(wanted, same).select("id", "version", F.col("text").cast("binary").alias("text"), "wanted")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted runs and their bytes."""
+    for batch in batches:
+        wanted = batch.column(3)
+        rows = pa.array(np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy()))
+        parts = wanted.flatten()
+        anchor, context, start, strings = (parts.field(i) for i in range(4))
+        texts, row = batch.column(2), rows.to_numpy()
+        at, end = start.to_numpy(), start.to_numpy() + strings.to_numpy() + LENGTH - 1
+        views = {int(r): memoryview(texts[int(r)].as_buffer()) for r in np.unique(row)}
+        data = [bytes(views[int(r)][a:b]) for r, a, b in zip(row, at, end)]
+        yield pa.RecordBatch.from_arrays(
+            [anchor, context, batch.column(0).take(rows), batch.column(1).take(rows), start, strings,
+             pa.array(data, pa.binary())],
+            names=["anchor", "context", "id", "version", "start", "strings", "data"],
+        )
 
 
 def _scan_contexts(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
@@ -238,6 +249,59 @@ def _scan_contexts(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
     return list(zip(row.tolist(), first.tolist(), end.tolist()))
 
 
+def _strings(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, version, run, anchor, string, start): the strings of the runs ``firsts`` and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _cut(batches):
+            for at in range(0, len(whole), _STRING_ROWS):
+                batch = whole.slice(at, _STRING_ROWS)
+                data = batch.column(batch.schema.get_field_index("data")).to_pylist()
+                many = np.array([len(d) for d in data], dtype=np.int64) - LENGTH + 1
+                bounds = np.concatenate(([0], np.cumsum(many + LENGTH - 1)))
+                block = Block(np.frombuffer(b"".join(data), dtype=np.uint8), bounds, 0)
+                row = np.repeat(np.arange(len(data)), many)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                first = bounds[row] + place
+                string = block.slice_hash(block.prefix_hash(), first, first + LENGTH)
+                rows = pa.array(row)
+                own = [batch.column(batch.schema.get_field_index(n)).take(rows) for n in ("id", "version", "start", "anchor")]
+                start = own[2].to_numpy() + place
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(string.view(np.int64)), pa.array(start.astype(np.int32))],
+                    names=["id", "version", "run", "anchor", "string", "start"],
+                )
+
+    numbers = [
+        StructField("run", IntegerType()), StructField("anchor", LongType()),
+        StructField("string", LongType()), StructField("start", IntegerType()),
+    ]
+    return _wanted(documents, firsts).mapInArrow(run, StructType([*documents.select("id", "version").schema, *numbers]))
+
+
+def _later_strings(strings: DataFrame) -> DataFrame:
+    """(id, version, first, end): ranges of the strings that are not the earliest of their kind."""
+    place = F.struct("id", "start")
+    earliest = (
+        strings.groupBy("anchor", "string")
+        .agg(F.min(place).alias("earliest"), F.max(place).alias("last"))
+        .where("earliest <> last")
+        .select(F.col("anchor").alias("_a"), F.col("string").alias("_s"), "earliest")
+    )
+    same = (strings["anchor"] == earliest["_a"]) & (strings["string"] == earliest["_s"])
+    later = strings.join(earliest, same).where(
+        ~(F.col("id").eqNullSafe(F.col("earliest.id")) & (F.col("start") == F.col("earliest.start")))
+    )
+    # A run has at most ``_GRAMS`` strings; successive ones are one range.
+    runs = later.groupBy("id", "version", "run", "anchor").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    firsts = F.filter("starts", lambda at: ~F.array_contains("starts", at - 1))
+    lasts = F.filter("starts", lambda at: ~F.array_contains("starts", at + 1))
+    ranges = F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
+    return runs.select("id", "version", F.explode(ranges).alias("range")).select(
+        "id", "version", F.col("range.first").alias("first"), (F.col("range.last") + 1).alias("end")
+    )
+
+
 def repeated_strings(documents: DataFrame) -> DataFrame:
     """(id, version, first, end): ranges of starts of strings that also occur earlier."""
     runs = _anchored(documents)
@@ -259,8 +323,9 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     copied = later.select("id", "version", F.col("start").alias("first"), (F.col("start") + F.col("strings")).alias("end"))
 
     # First members of the classes of an anchor that has several.
-    several = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    edges = stored(classes.join(several, "anchor").select("anchor", "context", "first.*"), "repeat-edges")
+    several = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    edges = stored(classes.join(several, "anchor").select("anchor", "context", "first.*", "n"), "repeat-edges")
+    crowded, edges = edges.where(F.col("n") > MOST_CONTEXTS).drop("n"), edges.where(F.col("n") <= MOST_CONTEXTS).drop("n")
     buckets = max(1, -(-edges.count() // BUCKET_CONTEXTS))
     id_field = documents.schema["id"]
     schema = StructType(
@@ -299,7 +364,10 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
 
     contexts = _with_contexts(documents, edges).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     found = contexts.groupBy("bucket").applyInArrow(scan, schema)
-    return copied.unionByName(found)
+    found = copied.unionByName(found)
+    if crowded.isEmpty():
+        return found
+    return found.unionByName(_later_strings(stored(_strings(documents, crowded), "repeat-strings")))
 
 
 def _documents(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

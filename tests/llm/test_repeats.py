@@ -117,3 +117,19 @@ def test_maximal_repeats():
     assert found[core[:110]] == {(0, 1), (1, 1), (2, 1), (3, 0)}
     assert found[b"x" + core[:110]] == {(0, 0), (2, 0)}
     assert set(found) == {core, core[:110], b"x" + core[:110]}
+
+
+def test_contexts_of_one_anchor_are_split(spark, monkeypatch):
+    """A passage that many texts share between different surroundings: no bucket holds all contexts."""
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefghijklmnopé", k=110))
+    texts = {i: "".join(rng.choices("abcdefgh", k=80)) + passage + "".join(rng.choices("abcdefgh", k=80)) for i in range(120)}
+    texts |= {200 + k: v for k, v in random_texts(3, 60).items()} | {None: passage[3:] + "x" * 130, 900: passage * 3}
+    df = spark.createDataFrame(list(texts.items()), DOCUMENTS)
+    monkeypatch.setattr(repeats, "MOST_CONTEXTS", 5, raising=False)
+    with_contexts, seen = repeats._with_contexts, []
+    monkeypatch.setattr(repeats, "_with_contexts", lambda docs, firsts: seen.append(firsts) or with_contexts(docs, firsts))
+    got = sorted(map(tuple, repeats.repeat_table(df).collect()), key=str)
+    assert got == sorted(brute(texts), key=str)
+    scanned, *_ = seen
+    assert max(r["count"] for r in scanned.groupBy("anchor").count().collect()) <= 5
