@@ -242,7 +242,8 @@ def search(
     )
     queries = rows.where(is_query)
     visits = _visits(
-        queries.groupBy(*_KEY).agg(F.first("embedding").alias("embedding")), index, per_cell, int(np.ceil(share * total))
+        queries.groupBy(*_KEY).agg(F.first("embedding").alias("embedding")), index, per_cell,
+        max(int(np.ceil(share * total)), top + 1),
     )
     ranked = _rank(visits.join(packed, "cell").select("k1s", "k2s", "vectors", "members"), top + 1)
     best = Window.partitionBy(*_KEY).orderBy(F.desc("score"), "vec_id")

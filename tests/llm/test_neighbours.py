@@ -82,6 +82,13 @@ def test_few_and_no_rows(spark):
     assert [r.vec_id for r in neighbours.search(one, "vec_id = 0", share=1.0).orderBy("rank").collect()] == [2, 1]
 
 
+def test_small_tables_give_all_candidates(spark):
+    for n in (4, 5, 6):
+        df = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(n)], VECTORS)
+        got = neighbours.search(df, "vec_id = 0").collect()
+        assert sorted(r.vec_id for r in got) == list(range(1, n))
+
+
 def test_large_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PACK_ROWS", 20)
     rng = np.random.default_rng(4)
