@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
+from loanbook.llm import conversations, licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), vocabulary(), Limits())
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_table(conversations.damage(conversations.rows_of(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lines": op9_lines,
     "op10_packing": op10_packing,
+    "op13_repair": op13_repair,
 }
 
 ORACLE: dict[str, str] = {
