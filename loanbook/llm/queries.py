@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import conversations, licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
+from loanbook.llm import conversations, hard_negatives, licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), vocabulary(), Limits())
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_table(conversations.damage(conversations.rows_of(table(spark, sf_dir, "conversations"))))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lines": op9_lines,
     "op10_packing": op10_packing,
+    "op12_negatives": op12_negatives,
     "op13_repair": op13_repair,
 }
 
@@ -81,4 +86,5 @@ ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_licences": licences.oracle(),
+    "op12_negatives": hard_negatives.ORACLE,
 }
