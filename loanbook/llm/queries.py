@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import conversations, hard_negatives, licences, lines, mixing, near_duplicates, neighbours, quality, repeats, toxicity, warc
+from loanbook.llm import conversations, hard_negatives, licences, lines, mixing, near_duplicates, neighbours, personal, quality, repeats, toxicity, warc
 from loanbook.llm.packing import Limits, Vocabulary, pack_sequences
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), vocabulary(), Limits())
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_table(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lines": op9_lines,
     "op10_packing": op10_packing,
+    "op11_personal": op11_personal,
     "op12_negatives": op12_negatives,
     "op13_repair": op13_repair,
 }
