@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loanbook.book import LoanBook
 from loanbook.functions.calendar import midnight
+from loanbook.functions.fingerprint import batch_keys
 from loanbook.operators import (
     constraints, lifecycle, monitoring, normalise, payments, quality, segmentation, validation,
 )
 from loanbook.schemas import RUN_KEY, TABLES
 from loanbook.sources.defects import damaged_book, damaged_snapshot
+from loanbook.sources.keys import with_dense_keys
+from loanbook.sources.loading import gate, load_terms
 from loanbook.sources.orders_book import AS_OF, OrdersBook
 from loanbook.sources.storage import append_batch, read_book, shared_folder
 
@@ -101,11 +104,16 @@ def _normalise_batch(b: OrdersBook) -> DataFrame:
     return result
 
 
-def _append_batch(b: OrdersBook) -> DataFrame:
-    """Load one run without most of its payments, then all runs; count what is stored and what was refused."""
+def _folder(b: OrdersBook) -> str:
     root = shared_folder(b.spark)
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return root
+
+
+def _append_batch(b: OrdersBook) -> DataFrame:
+    """Load one run without most of its payments, then all runs; count what is stored and what was refused."""
+    root = _folder(b)
     book = b.book.with_tables(
         **{name: normalise.normalise_table(b.terms, name, b.loaded_at) for name in ("loan_collateral", "loan_disbursements")}
     )
@@ -125,6 +133,48 @@ def _append_batch(b: OrdersBook) -> DataFrame:
     return counts.join(refused, "table_name")
 
 
+def _load_two_batches(b: OrdersBook) -> DataFrame:
+    """Two batches that both number their rows from 1, and the first of them once more: what is stored, under which keys."""
+    root = _folder(b)
+    early = F.col(RUN_KEY).isin("RUN1", "RUN2")
+    batches = [
+        with_dense_keys(part.drop("row_no"), f"{root}/delivered", "row_no")
+        for part in (b.terms.where(early), b.terms.where(~early))
+    ]
+    for batch in [*batches, batches[0].repartition(3)]:
+        load_terms(batch, root, b.loaded_at)
+    parts = [
+        df.groupBy(RUN_KEY).agg(F.count("*").alias("stored_rows")).join(
+            F.broadcast(
+                df.agg(
+                    F.count("*").alias("table_rows"), F.countDistinct(TABLES[name].key).alias("table_keys"),
+                    F.min(TABLES[name].key).alias("low"), F.max(TABLES[name].key).alias("high"),
+                )
+            )
+        ).select(
+            F.lit(name).alias("table_name"), RUN_KEY, "stored_rows", "table_rows", "table_keys",
+            # Which contracts have collateral depends on the batch, not on its keys.
+            *(F.when(F.lit(name != "loan_collateral"), F.col(c)).alias(f"{c}_key") for c in ("low", "high")),
+        )
+        for name, df in read_book(b.spark, root).tables().items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _load_gate(b: OrdersBook) -> DataFrame:
+    """What the rules keep out of a damaged batch: rows per table and rule, and how many pass."""
+    gated = gate(_damaged(b), _folder(b))
+    rules = gated.quarantine.select("table_name", F.explode("rules").alias("rule"))
+    counts = rules.groupBy("table_name", "rule").agg(F.count("*").alias("rows"))
+    for name, df in gated.accepted.tables().items():
+        passed = df.agg(F.count("*").alias("rows"))
+        counts = counts.unionByName(passed.select(F.lit(name).alias("table_name"), F.lit("accepted").alias("rule"), "rows"))
+    return counts
+
+
 _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     # Mart
     "portfolio_snapshot": lambda b: b.derive_snapshot(),
@@ -171,6 +221,9 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "derive_contract_terms": lambda b: b.terms.select(*_DERIVED_TERMS),
     "normalise_batch": _normalise_batch,
     "append_batch": _append_batch,
+    "batch_key": lambda b: batch_keys(b.terms.select(*_DERIVED_TERMS), RUN_KEY, b.as_of),
+    "load_two_batches": _load_two_batches,
+    "load_gate": _load_gate,
 }
 
 

@@ -2,9 +2,9 @@
 
 Every staging row becomes one customer, income, verification, application,
 score, decision, contract and disbursement, and for secured loans one
-collateral.  All of them take the key ``key_offset + row_no``: the staging frame
-itself is the map from row to key, so each table is a projection of it and
-nothing is joined or shuffled, and a retried task gives the same keys.
+collateral.  All of them take the key ``key_offset + row_no``, or that of a key column:
+the staging frame itself is the map from row to key, so each table is a projection of it
+and nothing is joined or shuffled, and a retried task gives the same keys.
 """
 
 from __future__ import annotations
@@ -33,17 +33,23 @@ DISBURSEMENT_DEFAULT = "account_credit"
 # -----------------------------------------------------------------------------
 
 
-def normalise_batch(terms: DataFrame, loaded_at: dt.datetime | None = None, key_offset: int = 0) -> LoanBook:
+def normalise_batch(
+    terms: DataFrame, loaded_at: dt.datetime | None = None, key_offset: int = 0, key_column: str = "row_no"
+) -> LoanBook:
     """Tables of one load from the output of ``derive_contract_terms``."""
-    return LoanBook(**{table: normalise_table(terms, table, loaded_at, key_offset) for table in _BUILDERS})
+    return LoanBook(**{table: normalise_table(terms, table, loaded_at, key_offset, key_column) for table in _BUILDERS})
 
 
 def normalise_table(
-    terms: DataFrame, table: str, loaded_at: dt.datetime | None = None, key_offset: int = 0
+    terms: DataFrame,
+    table: str,
+    loaded_at: dt.datetime | None = None,
+    key_offset: int = 0,
+    key_column: str = "row_no",
 ) -> DataFrame:
     """One table of the load."""
     stamp = F.lit(loaded_at).cast("timestamp") if loaded_at is not None else F.current_timestamp()
-    rows = terms.withColumns({"_key": F.col("row_no") + F.lit(key_offset).cast("bigint"), "_stamp": stamp})
+    rows = terms.withColumns({"_key": F.col(key_column) + F.lit(key_offset).cast("bigint"), "_stamp": stamp})
     return conform(_BUILDERS[table](rows), table)
 
 
@@ -212,3 +218,6 @@ _BUILDERS = {
     "loan_collateral": _collateral,
     "loan_disbursements": _disbursements,
 }
+
+#: Tables that a batch of contract terms is split into; all take the same keys.
+NORMALISED = list(_BUILDERS)

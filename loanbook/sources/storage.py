@@ -1,9 +1,16 @@
 """Lending tables as Parquet folders, one per table.
 
 Rows are appended and never rewritten.  Each append is a load with an id of its own and
-writes to folders of that id only; it counts once its tables, runs and row counts stand in
-the list of loads, written last.  Readers read the listed folders and nothing else, so
-what a load that died left behind is never seen, and redoing it needs no clean-up.
+writes to folders of that id only; it counts once its tables stand in the list of loads,
+written last.  Readers read the listed folders and nothing else, so what a load that died
+left behind is never seen, and redoing it needs no clean-up.
+
+One job looks at the keys of all offered tables: how many there are, whether they repeat,
+their range, and a bitmap of their hashes.  The list keeps range and bitmap per load, so
+that rows are compared only with loads that may hold one of their keys, and fresh keys with
+none.  Then each table is written in one job, which counts its rows as it goes.  The list
+also keeps a key made from the content of the batch, by which a batch that comes again is
+recognised without a look at what is stored.
 
 Rows whose key is stored already are refused and reported; all others are accepted,
 whether their run is new or known.  Two loads that run at the same time do not see each
@@ -16,11 +23,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from loanbook.book import LoanBook, conform
+from loanbook.functions.fingerprint import combined, fast_hashes, fingerprint
 from loanbook.schemas import RUN_KEY, TABLES
 
 _LOADS = "loads"
@@ -28,19 +38,28 @@ _LOAD_SCHEMA = T.StructType(
     [
         T.StructField("load_id", T.StringType(), False),
         T.StructField("table_name", T.StringType(), False),
-        T.StructField(RUN_KEY, T.StringType(), False),
+        T.StructField("folder", T.StringType(), False),
         T.StructField("added", T.LongType(), False),
+        T.StructField("low", T.LongType(), False),
+        T.StructField("high", T.LongType(), False),
+        T.StructField("key_bits", T.BinaryType(), False),
+        T.StructField("batch_key", T.StringType(), False),
     ]
 )
+#: Bits of the map of hashed keys: a filter of a few thousand keys; beyond, ranges decide alone.
+_KEY_BITS = 32_768
+#: Tables of a load that are written at the same time.
+_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
 class Appended:
-    """What became of one table of a load."""
+    """What became of one table of a load, and the earlier loads its keys were compared with."""
 
     table: str
     added: int
     refused: int
+    opened: tuple[str, ...] = ()
 
 
 def stored_schema(table: str) -> T.StructType:
@@ -50,47 +69,135 @@ def stored_schema(table: str) -> T.StructType:
 
 
 def loads(spark: SparkSession, root: str) -> DataFrame:
-    """(load_id, table_name, run key, rows added) of all completed loads."""
+    """One row per table of each completed load: its folder, rows, keys and batch key."""
     path = f"{root}/{_LOADS}"
     if not _exists(spark, path):
         return spark.createDataFrame([], _LOAD_SCHEMA)
     return spark.read.schema(_LOAD_SCHEMA).parquet(path)
 
 
-def append_batch(book: LoanBook, root: str) -> list[Appended]:
+def highest_key(spark: SparkSession, root: str, tables: list[str]) -> int:
+    """The highest key stored in any of the tables, 0 without rows; read from the list of loads alone."""
+    found = loads(spark, root).where(F.col("table_name").isin(tables)).agg(F.max("high")).first()[0]
+    return max(found or 0, 0)
+
+
+def append_batch(book: LoanBook, root: str, batch_key: str | None = None, prune: bool = True) -> list[Appended]:
     """Store the rows of ``book`` whose keys are not stored yet, and report per table.
 
-    Every row must name its run; otherwise nothing is stored and an error is raised.  Of
-    rows that repeat a key within the batch one is stored.
+    Every row must have its key and name its run; otherwise nothing is stored and an error
+    is raised.  Of rows that repeat a key within the batch, the one of the smallest hash is
+    stored.  ``batch_key`` names the batch where its keys have no say, as when they are
+    given anew on each load.  Without ``prune`` keys are compared with all loads.
     """
     tables = {name: conform(df, name) for name, df in book.tables().items()}
     spark = next(iter(tables.values())).sparkSession
-    stored, load_id = _read_loads(spark, root), uuid.uuid4().hex
-    offered = {}
     for name, df in tables.items():
         if RUN_KEY not in df.columns:
             raise ValueError(f"{name} has no column {RUN_KEY}")
-        rows, keyless = df.agg(F.count("*"), F.count_if(F.col(RUN_KEY).isNull())).first()
-        if keyless:
-            raise ValueError(f"{name} has {keyless} rows without {RUN_KEY}; nothing was stored")
-        offered[name] = rows
-    report, listed = [], []
-    for name, df in tables.items():
-        key = TABLES[name].key
-        new = df.dropDuplicates([key])
-        if name in stored:
-            new = new.join(stored[name].select(key), key, "left_anti").select(df.columns)
-        path = _load_path(root, name, load_id)
-        new.write.parquet(path)
-        per_run = spark.read.schema(stored_schema(name)).parquet(path).groupBy(RUN_KEY).count().collect()
-        added = sum(row["count"] for row in per_run)
-        listed += [(load_id, name, row[RUN_KEY], row["count"]) for row in per_run]
-        report.append(Appended(name, added, offered[name] - added))
+    offered = _offered_keys(tables)
+    for name, keys in offered.items():
+        if keys["unkeyed"]:
+            raise ValueError(f"{name} has {keys['unkeyed']} rows without {TABLES[name].key}; nothing was stored")
+    batch_key = batch_key or combined({name: (k["rows"], k["mixed"], k["summed"]) for name, k in offered.items()})
+    if is_loaded(spark, root, batch_key):
+        return [Appended(name, 0, offered[name]["rows"] if name in offered else 0) for name in tables]
+
+    met, load_id = _overlapping(spark, root, offered, prune), uuid.uuid4().hex
+    folder = f"load_id={load_id}"
+
+    def write(name: str) -> dict:
+        rows, key = tables[name], TABLES[name].key
+        if offered[name]["rows"] > offered[name]["different"]:
+            first = Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
+            rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+        if name in met:
+            known = _read(spark, root, name, [folder for _, folder in met[name]]).select(key)
+            rows = rows.join(known, key, "left_anti").select(rows.columns)
+        seen = Observation()
+        metrics = [
+            F.count("*").alias("rows"), F.count(RUN_KEY).alias("with_run"), F.min(key).alias("low"),
+            F.max(key).alias("high"), F.bitmap_construct_agg(_key_bit(key)).alias("key_bits"),
+        ]
+        rows.observe(seen, *metrics).write.parquet(f"{root}/{name}/{folder}")
+        return seen.get
+
+    # Several tables at a time: small writes leave cores idle.
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        written = dict(zip(offered, pool.map(write, offered)))
+    for name, seen in written.items():
+        if seen["with_run"] < seen["rows"]:
+            for table in written:
+                _remove(spark, f"{root}/{table}/{folder}")
+            raise ValueError(f"{name} has {seen['rows'] - seen['with_run']} rows without {RUN_KEY}; nothing was stored")
+    listed = [
+        (load_id, name, folder, seen["rows"], seen["low"], seen["high"], bytearray(seen["key_bits"]), batch_key)
+        for name, seen in written.items()
+        if seen["rows"]
+    ]
     if listed:
         spark.createDataFrame(listed, _LOAD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{_LOADS}")
+    report = []
+    for name in tables:
+        added, rows = (written[name]["rows"], offered[name]["rows"]) if name in offered else (0, 0)
+        report.append(Appended(name, added, rows - added, tuple(sorted(i for i, _ in met.get(name, [])))))
     return report
 
 
+def is_loaded(spark: SparkSession, root: str, batch_key: str) -> bool:
+    return not loads(spark, root).where(F.col("batch_key") == batch_key).isEmpty()
+
+
+def _key_bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_KEY_BITS))
+
+
+def _offered_keys(tables: dict[str, DataFrame]) -> dict[str, dict]:
+    """Of each table with rows: how many, without key, of different keys, and what sums the keys up.
+
+    The keys of all tables are counted in one aggregation.
+    """
+    names = list(tables)
+    stacked = [df.select(F.lit(i).alias("table"), F.col(TABLES[n].key).alias("key")) for i, (n, df) in enumerate(tables.items())]
+    per_key = reduce(DataFrame.unionByName, stacked).groupBy("table", "key").agg(F.count("*").alias("n"))
+    wide, narrow = fast_hashes(["key", "n"])
+    found = per_key.groupBy("table").agg(
+        F.sum("n").alias("offered"),
+        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("unkeyed"),
+        F.count("key").alias("different"),
+        F.min("key").alias("low"),
+        F.max("key").alias("high"),
+        F.bitmap_construct_agg(_key_bit("key")).alias("key_bits"),
+        *fingerprint(wide, narrow)[1:],
+    )
+    rows = {names[r["table"]]: r.asDict() | {"rows": r["offered"]} for r in found.collect()}
+    return {name: rows[name] for name in names if name in rows}
+
+
+def _read(spark: SparkSession, root: str, table: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(stored_schema(table)).parquet(*(f"{root}/{table}/{folder}" for folder in sorted(folders)))
+
+
+def _overlapping(spark: SparkSession, root: str, offered: dict[str, dict], prune: bool) -> dict[str, list[tuple[str, str]]]:
+    """Per table the (load, folder) that may hold one of the offered keys: ranges meet, and a hashed key is in both."""
+    wanted = F.lit(False)
+    for name, keys in offered.items():
+        meets = (F.col("low") <= keys["high"]) & (F.col("high") >= keys["low"])
+        wanted = wanted | ((F.col("table_name") == name) & (meets if prune else F.lit(True)))
+    found: dict[str, list[tuple[str, str]]] = {}
+    # One row per table and load in range, a few KB each.
+    for row in loads(spark, root).where(wanted).select("table_name", "load_id", "folder", "key_bits").collect():
+        common = int.from_bytes(row.key_bits) & int.from_bytes(offered[row.table_name]["key_bits"])
+        if common or not prune:
+            found.setdefault(row.table_name, []).append((row.load_id, row.folder))
+    return found
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = _path(spark, folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_book(spark: SparkSession, root: str) -> LoanBook:
     """The rows of all completed loads.  A folder without a list of loads is an error."""
     if not _exists(spark, f"{root}/{_LOADS}"):
@@ -112,18 +219,12 @@ def read_tables(spark: SparkSession, root: str) -> LoanBook:
     return LoanBook(**tables)
 
 
-def _load_path(root: str, table: str, load_id: str) -> str:
-    return f"{root}/{table}/load_id={load_id}"
-
-
 def _read_loads(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     # One row per table and load: as many as there were loads, not as there are rows.
-    paths: dict[str, list[str]] = {}
-    for row in loads(spark, root).select("table_name", "load_id").distinct().collect():
-        paths.setdefault(row.table_name, []).append(_load_path(root, row.table_name, row.load_id))
-    return {
-        name: spark.read.schema(stored_schema(name)).parquet(*sorted(paths[name])) for name in TABLES if name in paths
-    }
+    folders: dict[str, list[str]] = {}
+    for row in loads(spark, root).select("table_name", "folder").collect():
+        folders.setdefault(row.table_name, []).append(row.folder)
+    return {name: _read(spark, root, name, folders[name]) for name in TABLES if name in folders}
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

@@ -159,3 +159,39 @@ def uniqueness() -> str:
                 f" FROM (SELECT count(*) AS n FROM bad_{name} WHERE {present} GROUP BY {keys} HAVING count(*) >= 2) d"
             )
     return "\nUNION ALL\n".join(parts)
+
+
+# Rules at load time: a row breaks a rule by itself, by a key that a row before it holds,
+# or by a parent that did not pass.  Tables come parents first.
+
+
+def _gate_parts() -> dict[str, str]:
+    parts = {}
+    for name, t in TABLES.items():
+        broken = list(BROKEN[name].items())
+        broken += [(f"not_null:{c}", f"{c} IS NULL") for c in t.required]
+        broken += [(f"width:{c}", f"length({c}) > {limit}") for c, limit in TEXT_LIMITS.get(name, {}).items()]
+        for u in t.uniques:
+            present = " AND ".join(f"{c} IS NOT NULL" for c in u.columns)
+            nth = f"row_number() OVER (PARTITION BY {', '.join(u.columns)} ORDER BY {t.key}, place)"
+            broken.append((u.name, f"{present} AND {nth} > 1"))
+        for ref in t.references:
+            parent = f"SELECT {TABLES[ref.parent].key} FROM passed_{ref.parent}"
+            broken.append((ref.name, f"{ref.column} IS NOT NULL AND {ref.column} NOT IN ({parent})"))
+        cases = ", ".join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in broken)
+        # Equal rows are told apart, so that all unique keys agree on the first of them.
+        parts[f"placed_{name}"] = f"SELECT *, row_number() OVER () AS place FROM bad_{name}"
+        parts[f"judged_{name}"] = f"SELECT *, list_filter([{cases}], lambda r: r IS NOT NULL) AS broken FROM placed_{name}"
+        parts[f"passed_{name}"] = f"SELECT * FROM judged_{name} WHERE len(broken) = 0"
+    return parts
+
+
+GATE = _gate_parts()
+
+
+def gate() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, rule, count(*) AS rows FROM (SELECT unnest(broken) AS rule FROM judged_{name}) b"
+        f" GROUP BY rule UNION ALL SELECT '{name}', 'accepted', count(*) FROM passed_{name}"
+        for name in TABLES
+    )

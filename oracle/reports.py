@@ -6,7 +6,7 @@ from oracle.book import AS_OF, BOOK, SNAPSHOT_OUT
 from oracle.compose import amount, average, compose, money, padded, share
 from loanbook.schemas import TABLES
 
-PARTS = {**BOOK, **BATCH, **audit.DAMAGED}
+PARTS = {**BOOK, **BATCH, **audit.DAMAGED, **audit.GATE}
 
 
 def _if(condition: str, value: str = "1") -> str:
@@ -344,4 +344,34 @@ FROM ({" UNION ALL ".join(
 GROUP BY table_name, run_key
 """
 
+_RAW["load_gate"] = audit.gate()
+
+_TERM_TEXTS = ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), '\\N')"
+    for c in "row_no down_payment asset_value probability_of_default months_on_book due_installments maturity_date"
+    " contract_status closed_date decision_type".split()
+)
+_RAW["batch_key"] = f"""
+SELECT run_key, rows AS batch_rows,
+       strftime({AS_OF}, '%Y%m%d') || '-' || substr(md5(concat_ws(':', rows, mixed, summed)), 1, 12) AS batch_key
+FROM (SELECT run_key, count(*) AS rows, bit_xor(CAST('0x' || substr(digest, 1, 15) AS BIGINT)) AS mixed,
+             sum(CAST('0x' || substr(digest, 16, 6) AS BIGINT)) AS summed
+      FROM (SELECT run_key, md5(concat_ws(chr(31), {_TERM_TEXTS})) AS digest FROM terms) d GROUP BY run_key) g
+"""
+
+# Keys run from 1 through both batches, whichever row has which.
+_RAW["load_two_batches"] = f"""
+SELECT table_name, run_key, count(*) AS stored_rows,
+       CAST(sum(count(*)) OVER (PARTITION BY table_name) AS BIGINT) AS table_rows,
+       CAST(sum(count(*)) OVER (PARTITION BY table_name) AS BIGINT) AS table_keys,
+       CASE WHEN table_name <> 'loan_collateral' THEN CAST(1 AS BIGINT) END AS low_key,
+       CASE WHEN table_name <> 'loan_collateral' THEN CAST(sum(count(*)) OVER (PARTITION BY table_name) AS BIGINT) END
+           AS high_key
+FROM ({" UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, run_key FROM terms" for t in _NORMALISED if t != "loan_collateral"]
+    + ["SELECT 'loan_collateral', run_key FROM terms WHERE loan_type <> 'consumer_loan'"]
+)}) x
+GROUP BY table_name, run_key
+"""
+
 ORACLE: dict[str, str] = {name: compose(sql, PARTS) for name, sql in _RAW.items()}
