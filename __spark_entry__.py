@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +13,9 @@ from loanbook.functions.fingerprint import batch_keys
 from loanbook.operators import (
     constraints, lifecycle, monitoring, normalise, payments, quality, segmentation, validation,
 )
+from loanbook.operators.snapshot import portfolio_snapshot
 from loanbook.schemas import RUN_KEY, TABLES
+from loanbook.sources.bucketed import write_bucketed
 from loanbook.sources.defects import damaged_book, damaged_snapshot
 from loanbook.sources.keys import with_dense_keys
 from loanbook.sources.loading import gate, load_terms
@@ -82,6 +84,29 @@ def _apply_defaults(b: OrdersBook) -> DataFrame:
     return filled.select("loan_contract_id", "contract_number", "contract_status")
 
 
+@cache
+def _bucketed(b: OrdersBook) -> LoanBook:
+    """The book with its instalment tables in as many buckets as the session shuffles to."""
+    return write_bucketed(b.book, _folder(b), int(b.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bucketed_snapshot(b: OrdersBook) -> DataFrame:
+    book = _bucketed(b)
+    return portfolio_snapshot(
+        book.loan_contracts, book.payment_schedule, book.payments, book.delinquency_events, bucketed=True
+    )
+
+
+def _bucketed_events(b: OrdersBook) -> DataFrame:
+    book = _bucketed(b)
+    return lifecycle.derive_delinquency_events(book.payment_schedule, book.payments, b.as_of).drop(RUN_KEY)
+
+
+def _bucketed_installments(b: OrdersBook) -> DataFrame:
+    book = _bucketed(b)
+    return payments.classify_installments(book.payment_schedule, book.payments, b.as_of)
+
+
 _DERIVED_TERMS = [
     RUN_KEY, "row_no", "down_payment", "asset_value", "probability_of_default", "months_on_book", "due_installments",
     "maturity_date", "contract_status", "closed_date", "decision_type",
@@ -143,25 +168,19 @@ def _load_two_batches(b: OrdersBook) -> DataFrame:
     ]
     for batch in [*batches, batches[0].repartition(3)]:
         load_terms(batch, root, b.loaded_at)
-    parts = [
-        df.groupBy(RUN_KEY).agg(F.count("*").alias("stored_rows")).join(
-            F.broadcast(
-                df.agg(
-                    F.count("*").alias("table_rows"), F.countDistinct(TABLES[name].key).alias("table_keys"),
-                    F.min(TABLES[name].key).alias("low"), F.max(TABLES[name].key).alias("high"),
-                )
-            )
-        ).select(
-            F.lit(name).alias("table_name"), RUN_KEY, "stored_rows", "table_rows", "table_keys",
-            # Which contracts have collateral depends on the batch, not on its keys.
-            *(F.when(F.lit(name != "loan_collateral"), F.col(c)).alias(f"{c}_key") for c in ("low", "high")),
+    counts, totals = [], []
+    for name, df in read_book(b.spark, root).tables().items():
+        key, table = F.col(TABLES[name].key), F.lit(name).alias("table_name")
+        # Which contracts have collateral depends on the batch, not on its keys.
+        low, high = (F.when(F.lit(name != "loan_collateral"), f(key)) for f in (F.min, F.max))
+        counts.append(df.groupBy(RUN_KEY).agg(F.count("*").alias("stored_rows")).select(table, RUN_KEY, "stored_rows"))
+        totals.append(
+            df.agg(
+                F.count("*").alias("table_rows"), F.countDistinct(key).alias("table_keys"), low.alias("low_key"),
+                high.alias("high_key"),
+            ).select(table, "table_rows", "table_keys", "low_key", "high_key")
         )
-        for name, df in read_book(b.spark, root).tables().items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, counts).join(reduce(DataFrame.unionByName, totals), "table_name")
 
 
 def _load_gate(b: OrdersBook) -> DataFrame:
@@ -187,6 +206,10 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "risk_by_months_on_book": lambda b: segmentation.risk_by_months_on_book(b.snapshot, b.as_of),
     "high_risk_watchlist": lambda b: segmentation.high_risk_watchlist(b.snapshot, b.contracts, b.scores),
     "high_risk_watchlist_top": lambda b: segmentation.high_risk_watchlist(b.snapshot, b.contracts, b.scores, top=100),
+    # The same on tables in buckets of the instalment key
+    "bucketed_snapshot": _bucketed_snapshot,
+    "bucketed_events": _bucketed_events,
+    "bucketed_installments": _bucketed_installments,
     # Payment behaviour
     "classify_installments": lambda b: payments.classify_installments(b.schedule, b.payments, b.as_of),
     "monthly_payment_performance": lambda b: payments.monthly_payment_performance(b.schedule, b.payments, b.as_of),

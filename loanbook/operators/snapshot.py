@@ -19,7 +19,7 @@ SNAPSHOT_COLUMNS = [
 
 
 def portfolio_snapshot(
-    contracts: DataFrame, schedule: DataFrame, payments: DataFrame, events: DataFrame
+    contracts: DataFrame, schedule: DataFrame, payments: DataFrame, events: DataFrame, bucketed: bool = False
 ) -> DataFrame:
     """One row per contract with its balances and days past due.
 
@@ -28,6 +28,9 @@ def portfolio_snapshot(
     many payments moves as one row per task, and a single join then takes both
     facts to their contract.  ``current_dpd`` is the value stored on open events;
     it does not age with the calendar.
+
+    With ``bucketed`` the three tables lie in buckets of the instalment key.  A stack of
+    them would lose the buckets, so each is combined and joined on its own, in place.
     """
     is_open = F.col("delinquency_status") == "open"
     paid = payments.where(F.col("payment_status") == "posted").select(
@@ -39,19 +42,18 @@ def portfolio_snapshot(
         F.when(is_open, F.col("max_dpd")).alias("open_dpd"),
         F.col("max_dpd").alias("any_dpd"),
     )
-    per_instalment = (
-        paid.unionByName(late, allowMissingColumns=True)
-        .groupBy("payment_schedule_id")
-        .agg(
-            F.sum("paid").cast(MONEY_TOTAL).alias("paid"),
-            F.sum("overdue").cast(MONEY_TOTAL).alias("overdue"),
-            F.max("open_dpd").alias("open_dpd"),
-            F.max("any_dpd").alias("any_dpd"),
-        )
-    )
+    sums = [F.sum(c).cast(MONEY_TOTAL).alias(c) for c in ("paid", "overdue")]
+    highest = [F.max(c).alias(c) for c in ("open_dpd", "any_dpd")]
+    instalments = schedule.select("payment_schedule_id", "loan_contract_id")
+    if bucketed:
+        paid_each = paid.groupBy("payment_schedule_id").agg(sums[0])
+        late_each = late.groupBy("payment_schedule_id").agg(sums[1], *highest)
+        facts = instalments.join(paid_each, "payment_schedule_id", "left").join(late_each, "payment_schedule_id", "left")
+    else:
+        stacked = paid.unionByName(late, allowMissingColumns=True)
+        facts = stacked.groupBy("payment_schedule_id").agg(*sums, *highest).join(instalments, "payment_schedule_id")
     per_contract = (
-        per_instalment.join(schedule.select("payment_schedule_id", "loan_contract_id"), "payment_schedule_id")
-        .groupBy("loan_contract_id")
+        facts.groupBy("loan_contract_id")
         .agg(
             F.sum("paid").alias("paid"),
             F.sum("overdue").alias("overdue"),

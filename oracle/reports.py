@@ -345,6 +345,9 @@ GROUP BY table_name, run_key
 """
 
 _RAW["load_gate"] = audit.gate()
+_RAW["bucketed_snapshot"] = _RAW["portfolio_snapshot"]
+_RAW["bucketed_events"] = _RAW["derive_delinquency_events"]
+_RAW["bucketed_installments"] = _RAW["classify_installments"]
 
 _TERM_TEXTS = ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), '\\N')"

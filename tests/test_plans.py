@@ -1,5 +1,7 @@
 """Properties a plan needs on large data, checked before any data is large."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registered
@@ -80,3 +82,13 @@ def test_top_of_the_watchlist_does_not_sort_everything(spark, book):
         segmentation.high_risk_watchlist(book.snapshot, book.contracts, book.scores, top=10)
     )
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("name", ["bucketed_snapshot", "bucketed_events", "bucketed_installments"])
+def test_buckets_spare_the_shuffle_by_instalment(spark, small, no_broadcast, name):
+    plan = inspect.physical_plan(registered.queries()[name](spark, small))
+    exchanged = [block.split("\n")[-1] for block in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", block)]
+    assert not any("payment_schedule_id" in keys for keys in exchanged)
+    assert "Bucketed: true" in plan
+    # What is left moves totals and contracts by contract.
+    assert inspect.shuffles(plan) == (2 if name == "bucketed_snapshot" else 0)
