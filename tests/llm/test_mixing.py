@@ -76,3 +76,31 @@ def test_all_sources_clamped(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y")], DOCUMENTS)
     rows = mix_table(df, share=3.0).collect()
     assert all(r.taken == 2 * r.size for r in rows)
+
+
+def test_repeated_and_null_ids(spark):
+    """Sources of one id, or of none, come near their targets as well, with rows alike or not."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(i % 9))
+    rows = [(7, words(i), "one id") for i in range(1000)] + [(None, words(i), "no id") for i in range(1000)]
+    rows += [(i, words(i), f"s{i % 4}") for i in range(3000)] + [(8, "a b c", "one text")] * 900 + [(9, "", "one text")] * 5
+    df = spark.createDataFrame(rows, DOCUMENTS).withColumn("row", F.col("doc_id"))
+    mixed = mix_table(df).collect()
+    assert len(mixed) == len(rows)
+    verify(mixed)
+    assert Counter(mixed) == Counter(mix_table(df.repartition(5)).collect())
+    taken = defaultdict(int)
+    for r in mixed:
+        taken[r.source] += r.taken
+    got, often = defaultdict(int), Counter()
+    for r in mix_documents(df).collect():
+        got[r.source] += len(r.text.split())
+        often[tuple(r)] += 1
+    assert {s: n for s, n in got.items() if n} == {s: n for s, n in taken.items() if n}
+    given = Counter((*r, r[0]) for r in rows)
+    assert all(n <= 2 * given[r] for r, n in often.items())
+    one = {r for r in often if r[2] == "one id"}
+    assert len(one) > 100
+    with duckdb.connect() as c:
+        documents = df.toArrow()
+        c.register("documents", documents)
+        compare.assert_same(mix_table(df), c, ORACLE["op3_mixing"])
