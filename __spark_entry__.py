@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cache, reduce
 
@@ -11,8 +12,9 @@ from loanbook.book import LoanBook
 from loanbook.functions.calendar import midnight
 from loanbook.functions.fingerprint import batch_keys
 from loanbook.operators import (
-    constraints, lifecycle, monitoring, normalise, payments, quality, segmentation, validation,
+    constraints, lifecycle, monitoring, normalise, payments, quality, segmentation, sketches, summary, validation,
 )
+from loanbook.operators.rolling import roll_delinquency_events
 from loanbook.operators.snapshot import portfolio_snapshot
 from loanbook.schemas import RUN_KEY, TABLES
 from loanbook.sources.bucketed import write_bucketed
@@ -107,6 +109,24 @@ def _bucketed_installments(b: OrdersBook) -> DataFrame:
     return payments.classify_installments(book.payment_schedule, book.payments, b.as_of)
 
 
+def _roll_events(b: OrdersBook) -> DataFrame:
+    """Events of the reporting day, rolled there from half a year before in two steps."""
+    days = [b.as_of - dt.timedelta(days=n) for n in (180, 60, 0)]
+    paid, known = F.col("payment_date"), b.payments.where(F.col("payment_date") <= days[0])
+    events = lifecycle.derive_delinquency_events(b.schedule, known, days[0])
+    for since, today in zip(days, days[1:]):
+        new = b.payments.where((paid > since) & (paid <= today))
+        events = roll_delinquency_events(events, b.schedule, b.payments.where(paid <= since), new, since, today)
+    return events.drop(RUN_KEY)
+
+
+def _median_sketches(b: OrdersBook) -> DataFrame:
+    """Are the medians merged from the sketches of all runs within their rank error?"""
+    medians = sketches.median_resolution(sketches.resolution_sketches(b.delinquency_events))
+    errors = sketches.rank_of_median(medians, b.delinquency_events)
+    return errors.select("dpd_bucket", "closed_events", (F.col("rank_error") <= 0.015).alias("within_error"))
+
+
 _DERIVED_TERMS = [
     RUN_KEY, "row_no", "down_payment", "asset_value", "probability_of_default", "months_on_book", "due_installments",
     "maturity_date", "contract_status", "closed_date", "decision_type",
@@ -199,6 +219,7 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "portfolio_snapshot": lambda b: b.derive_snapshot(),
     # Portfolio monitoring
     "portfolio_kpis": lambda b: monitoring.portfolio_kpis(b.snapshot, b.as_of),
+    "mart_summary": lambda b: summary.mart_summary(b.snapshot, b.as_of),
     "dpd_bucket_summary": lambda b: monitoring.dpd_bucket_summary(b.snapshot),
     # Risk segmentation
     "risk_by_score_band": lambda b: segmentation.risk_by_score_band(b.contracts, b.scores, b.snapshot),
@@ -214,6 +235,7 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "classify_installments": lambda b: payments.classify_installments(b.schedule, b.payments, b.as_of),
     "monthly_payment_performance": lambda b: payments.monthly_payment_performance(b.schedule, b.payments, b.as_of),
     "delinquency_resolution": lambda b: payments.delinquency_resolution(b.delinquency_events, b.as_of),
+    "median_resolution_sketch": _median_sketches,
     "early_delinquency_analysis": lambda b: payments.early_delinquency_analysis(
         b.contracts, b.schedule, b.delinquency_events
     ),
@@ -241,6 +263,7 @@ _QUERIES: dict[str, Callable[[OrdersBook], DataFrame]] = {
     "apply_defaults": _apply_defaults,
     "build_payment_schedule": lambda b: lifecycle.build_payment_schedule(b.contracts).drop(RUN_KEY),
     "derive_delinquency_events": lambda b: b.derive_events().drop(RUN_KEY),
+    "roll_events": _roll_events,
     "derive_contract_terms": lambda b: b.terms.select(*_DERIVED_TERMS),
     "normalise_batch": _normalise_batch,
     "append_batch": _append_batch,

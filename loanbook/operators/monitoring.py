@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanbook.functions.calendar import as_date
-from loanbook.functions.measures import MONEY_TOTAL, count_where, money_sum, on_spine, pct
+from loanbook.functions.measures import MONEY_TOTAL, on_spine, pct
+from loanbook.operators.measured import measures
 from loanbook.operators.snapshot import DPD_BUCKETS
 from loanbook.schemas import OPEN_BOOK_STATUSES
 
@@ -19,57 +20,45 @@ def open_book(snapshot: DataFrame) -> DataFrame:
 
 def portfolio_kpis(snapshot: DataFrame, as_of: dt.date | Column) -> DataFrame:
     """One row of headline figures for the open book."""
-    dpd = F.col("current_dpd")
-    outstanding = F.col("outstanding_principal")
-    totals = open_book(snapshot).agg(
-        F.count("*").alias("total_contracts"),
-        money_sum(F.col("principal_amount")).alias("total_principal"),
-        money_sum(outstanding).alias("total_outstanding"),
-        money_sum(F.col("overdue_principal")).alias("total_overdue"),
-        count_where(dpd > 0).alias("delinquent_contracts"),
-        count_where(dpd >= 30).alias("dpd_30_plus_contracts"),
-        count_where(dpd >= 90).alias("dpd_90_plus_contracts"),
-        money_sum(outstanding, dpd >= 30).alias("at_risk_30"),
-        money_sum(outstanding, dpd >= 90).alias("at_risk_90"),
-    )
-    contracts = F.col("total_contracts")
+    return kpis_of(open_book(snapshot).agg(*measures()), as_of)
+
+
+def kpis_of(totals: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """The headline figures from the measures of the whole open book."""
+    contracts = F.col("contracts")
 
     def share_of_contracts(column: str) -> Column:
         return pct(F.col(column), contracts)
 
     def share_of_outstanding(column: str) -> Column:
-        return pct(F.col(column), F.col("total_outstanding"), scale=2)
+        return pct(F.col(column), F.col("outstanding"), scale=2)
 
     return totals.select(
         as_date(as_of).alias("report_date"),
-        "total_contracts",
-        "total_principal",
-        "total_outstanding",
-        "total_overdue",
-        "delinquent_contracts",
-        share_of_contracts("delinquent_contracts").alias("delinquency_rate_pct"),
-        "dpd_30_plus_contracts",
-        share_of_contracts("dpd_30_plus_contracts").alias("dpd_30_plus_rate_pct"),
-        "dpd_90_plus_contracts",
-        share_of_contracts("dpd_90_plus_contracts").alias("dpd_90_plus_rate_pct"),
+        contracts.alias("total_contracts"),
+        F.col("principal").alias("total_principal"),
+        F.col("outstanding").alias("total_outstanding"),
+        F.col("overdue").alias("total_overdue"),
+        F.col("delinquent").alias("delinquent_contracts"),
+        share_of_contracts("delinquent").alias("delinquency_rate_pct"),
+        F.col("late_30").alias("dpd_30_plus_contracts"),
+        share_of_contracts("late_30").alias("dpd_30_plus_rate_pct"),
+        F.col("late_90").alias("dpd_90_plus_contracts"),
+        share_of_contracts("late_90").alias("dpd_90_plus_rate_pct"),
         share_of_outstanding("at_risk_30").alias("par_30_pct"),
         share_of_outstanding("at_risk_90").alias("par_90_pct"),
-        share_of_outstanding("total_overdue").alias("overdue_share_pct"),
+        share_of_outstanding("overdue").alias("overdue_share_pct"),
     )
 
 
 def dpd_bucket_summary(snapshot: DataFrame) -> DataFrame:
     """Exposure of the open book by current delinquency bucket, one row per bucket."""
-    summary = (
-        open_book(snapshot)
-        .groupBy("dpd_bucket")
-        .agg(
-            F.count("*").alias("contracts"),
-            money_sum(F.col("principal_amount")).alias("principal"),
-            money_sum(F.col("outstanding_principal")).alias("outstanding"),
-            money_sum(F.col("overdue_principal")).alias("overdue"),
-        )
-    )
+    wanted = measures("contracts", "principal", "outstanding", "overdue")
+    return buckets_of(open_book(snapshot).groupBy("dpd_bucket").agg(*wanted))
+
+
+def buckets_of(summary: DataFrame) -> DataFrame:
+    """The report from the measures of each bucket that has contracts."""
 
     def filled(column: str, kind: str = MONEY_TOTAL) -> Column:
         return F.coalesce(column, F.lit(0)).cast(kind)

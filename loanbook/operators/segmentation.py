@@ -11,6 +11,7 @@ from loanbook.functions.joins import left_join_many
 from loanbook.functions.measures import (
     MONEY_TOTAL, RATE, bucket, count_where, mean, money_sum, on_spine, pct, sum_where,
 )
+from loanbook.operators.measured import measures
 from loanbook.operators.monitoring import open_book
 
 # --- Fixed values: report segments, thresholds and labels --------------------
@@ -27,35 +28,39 @@ PRIORITIES = ["Critical", "High", "Medium"]
 
 def risk_by_loan_size(snapshot: DataFrame) -> DataFrame:
     """Open book by original principal."""
-    segment = bucket(F.col("principal_amount"), LOAN_SIZE_EDGES, LOAN_SIZE_ABOVE)
-    labels = [label for _, label in LOAN_SIZE_EDGES] + [LOAN_SIZE_ABOVE]
-    report = _segment_report(snapshot, "loan_size_segment", segment, labels)
-    return report.drop("share_of_outstanding_pct")
+    return loan_sizes_of(_segments(snapshot, "loan_size_segment", loan_size()))
 
 
 def risk_by_months_on_book(snapshot: DataFrame, as_of: dt.date | Column) -> DataFrame:
     """Open book by completed months since the contract started."""
-    segment = bucket(full_months(F.col("start_date"), as_date(as_of)), MOB_EDGES, MOB_ABOVE)
-    labels = [label for _, label in MOB_EDGES] + [MOB_ABOVE]
-    return _segment_report(snapshot, "mob_segment", segment, labels)
+    return months_of(_segments(snapshot, "mob_segment", months_on_book(as_of)))
 
 
-def _segment_report(snapshot: DataFrame, key: str, segment: Column, labels: list[str]) -> DataFrame:
-    dpd = F.col("current_dpd")
-    outstanding = F.col("outstanding_principal")
-    summary = (
-        open_book(snapshot)
-        .groupBy(segment.alias(key))
-        .agg(
-            F.count("*").alias("contracts"),
-            money_sum(F.col("principal_amount")).alias("principal"),
-            money_sum(outstanding).alias("outstanding"),
-            count_where(dpd > 0).alias("delinquent"),
-            count_where(dpd >= 30).alias("late_30"),
-            money_sum(outstanding, dpd >= 30).alias("at_risk_30"),
-        )
-    )
+def loan_size() -> Column:
+    return bucket(F.col("principal_amount"), LOAN_SIZE_EDGES, LOAN_SIZE_ABOVE)
+
+
+def months_on_book(as_of: dt.date | Column) -> Column:
+    return bucket(full_months(F.col("start_date"), as_date(as_of)), MOB_EDGES, MOB_ABOVE)
+
+
+def loan_sizes_of(summary: DataFrame) -> DataFrame:
+    """The report from the measures of each loan size that has contracts."""
+    labels = [label for _, label in LOAN_SIZE_EDGES] + [LOAN_SIZE_ABOVE]
+    return _segment_report(summary, "loan_size_segment", labels).drop("share_of_outstanding_pct")
+
+
+def months_of(summary: DataFrame) -> DataFrame:
+    """The report from the measures of each age that has contracts."""
+    return _segment_report(summary, "mob_segment", [label for _, label in MOB_EDGES] + [MOB_ABOVE])
+
+
+def _segments(snapshot: DataFrame, key: str, segment: Column) -> DataFrame:
+    wanted = measures("contracts", "principal", "outstanding", "delinquent", "late_30", "at_risk_30")
+    return open_book(snapshot).groupBy(segment.alias(key)).agg(*wanted)
+
 
+def _segment_report(summary: DataFrame, key: str, labels: list[str]) -> DataFrame:
     def filled(column: str, kind: str = "bigint") -> Column:
         return F.coalesce(column, F.lit(0)).cast(kind)
 

@@ -345,6 +345,37 @@ GROUP BY table_name, run_key
 """
 
 _RAW["load_gate"] = audit.gate()
+_RAW["roll_events"] = _RAW["derive_delinquency_events"]
+
+_RAW["median_resolution_sketch"] = """
+SELECT band.label AS dpd_bucket, count(delinquency_event_id) AS closed_events,
+       CASE WHEN count(delinquency_event_id) > 0 THEN TRUE END AS within_error
+FROM (VALUES ('1-7', 1, 7), ('8-30', 8, 30), ('31-60', 31, 60), ('61-90', 61, 90), ('91+', 91, 1000000))
+     AS band(label, low, high)
+LEFT JOIN (SELECT * FROM delinquency_events WHERE delinquency_status = 'closed') e
+       ON e.max_dpd BETWEEN band.low AND band.high
+GROUP BY band.label
+"""
+
+_SIZE = "CASE WHEN principal_amount <= 1000000 THEN 'Up to 1M' WHEN principal_amount <= 3000000 THEN '1M-3M' ELSE '3M+' END"
+_AGE = f"""CASE WHEN age <= 6 THEN '0-6 months' WHEN age <= 12 THEN '7-12 months' WHEN age <= 24 THEN '13-24 months'
+                ELSE '25+ months' END"""
+_AGED = f"""(SELECT *, (year({AS_OF}) - year(start_date)) * 12 + month({AS_OF}) - month(start_date)
+                       - CASE WHEN day({AS_OF}) < day(start_date) THEN 1 ELSE 0 END AS age FROM snapshot WHERE on_book)"""
+_RAW["mart_summary"] = " UNION ALL ".join(
+    f"""
+SELECT '{report}' AS report, {segment} AS segment, count(*) AS contracts,
+       {money("coalesce(sum(CAST(principal_amount * 100 AS HUGEINT)), 0)")} AS principal,
+       {money("coalesce(sum(outstanding_cents), 0)")} AS outstanding, {money("coalesce(sum(overdue_cents), 0)")} AS overdue,
+       {_n("current_dpd > 0")} AS delinquent, {_n("current_dpd > 29")} AS late_30, {_n("current_dpd > 89")} AS late_90,
+       {money(_if("current_dpd > 29", "outstanding_cents"))} AS at_risk_30,
+       {money(_if("current_dpd > 89", "outstanding_cents"))} AS at_risk_90
+FROM {_AGED} s GROUP BY {segment}"""
+    for report, segment in {
+        "portfolio_kpis": "CAST(NULL AS VARCHAR)", "dpd_bucket_summary": "dpd_bucket", "risk_by_loan_size": _SIZE,
+        "risk_by_months_on_book": _AGE,
+    }.items()
+)
 _RAW["bucketed_snapshot"] = _RAW["portfolio_snapshot"]
 _RAW["bucketed_events"] = _RAW["derive_delinquency_events"]
 _RAW["bucketed_installments"] = _RAW["classify_installments"]
