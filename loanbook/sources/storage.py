@@ -71,7 +71,7 @@ def stored_schema(table: str) -> T.StructType:
 def loads(spark: SparkSession, root: str) -> DataFrame:
     """One row per table of each completed load: its folder, rows, keys and batch key."""
     path = f"{root}/{_LOADS}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], _LOAD_SCHEMA)
     return spark.read.schema(_LOAD_SCHEMA).parquet(path)
 
@@ -200,11 +200,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def read_book(spark: SparkSession, root: str) -> LoanBook:
     """The rows of all completed loads.  A folder without a list of loads is an error."""
-    if not _exists(spark, f"{root}/{_LOADS}"):
+    if not exists(spark, f"{root}/{_LOADS}"):
         raise FileNotFoundError(f"{root} has no list of loads; read plain tables with read_tables")
     return LoanBook(**_read_loads(spark, root))
 
 
+def load_rows(spark: SparkSession, root: str, load_ids: list[str]) -> dict[str, DataFrame]:
+    """The rows that some loads added, per table."""
+    folders: dict[str, list[str]] = {}
+    for row in loads(spark, root).where(F.col("load_id").isin(*load_ids)).select("table_name", "folder").collect():
+        folders.setdefault(row.table_name, []).append(row.folder)
+    return {name: _read(spark, root, name, folders[name]) for name in TABLES if name in folders}
+
+
 def read_tables(spark: SparkSession, root: str) -> LoanBook:
     """Plain tables, ``{root}/{table}`` or ``{root}/{table}.parquet``, in their declared types.
 
@@ -213,7 +221,7 @@ def read_tables(spark: SparkSession, root: str) -> LoanBook:
     tables = {}
     for name in TABLES:
         for path in (f"{root}/{name}", f"{root}/{name}.parquet"):
-            if _exists(spark, path):
+            if exists(spark, path):
                 tables[name] = conform(spark.read.parquet(path), name)
                 break
     return LoanBook(**tables)
@@ -259,6 +267,6 @@ def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = _path(spark, path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -345,6 +345,7 @@ GROUP BY table_name, run_key
 """
 
 _RAW["load_gate"] = audit.gate()
+_RAW["refreshed_mart"] = _RAW["portfolio_snapshot"]
 _RAW["roll_events"] = _RAW["derive_delinquency_events"]
 
 _RAW["median_resolution_sketch"] = """

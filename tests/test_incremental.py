@@ -5,12 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from loanbook.book import LoanBook
 from loanbook.operators import monitoring, segmentation, sketches, summary
 from loanbook.operators.lifecycle import derive_delinquency_events
 from loanbook.operators.rolling import roll_delinquency_events
 from loanbook.plans import inspect
 from loanbook.schemas import RUN_KEY
-from loanbook.sources import storage
+from loanbook.operators.snapshot import portfolio_snapshot
+from loanbook.sources import mart, storage
 from loanbook.sources.orders_book import AS_OF, OrdersBook
 
 
@@ -89,3 +91,46 @@ def test_merged_medians_stay_within_their_rank_error(spark):
     assert all(r.rank_error <= 0.015 for r in errors)
     exact = events.groupBy().agg(F.count("*")).first()[0]
     assert sum(r.closed_events for r in errors) == exact
+
+
+def test_the_mart_follows_its_loads(spark, book, tmp_path):
+    root, place = str(tmp_path / "book"), str(tmp_path / "mart")
+    tables = {name: df for name, df in book.book.tables().items() if name in mart.SOURCES}
+    key, part = F.col("loan_contract_id"), F.col("payment_schedule_id") % 2 == 0
+    some = key % 3 == 0
+    batches = [
+        # Payments and events of contracts that are not there yet, and the other way round.
+        {"loan_contracts": some, "payment_schedule": some, "payments": part},
+        {"loan_contracts": ~some, "payment_schedule": ~some, "delinquency_events": F.lit(True)},
+        {"payments": ~part & (F.col("payment_schedule_id") < 2_000_000)},
+    ]
+    for n, batch in enumerate(batches):
+        storage.append_batch(LoanBook(**{name: tables[name].where(test) for name, test in batch.items()}), root)
+        done = mart.refresh_snapshot(spark, root, place, buckets=32)
+        stored = storage.read_book(spark, root).tables()
+        whole = portfolio_snapshot(
+            *(stored.get(name, tables[name].limit(0)) for name in mart.SOURCES)
+        )
+        assert rows(mart.read_mart(spark, place)) == rows(whole)
+        assert len(done.loads) == 1
+        if n == 2:
+            assert 0 < len(done.buckets) < 32 and done.contracts < 40
+    assert mart.refresh_snapshot(spark, root, place, buckets=32) == mart.Refreshed((), 0, ())
+
+
+def test_untouched_buckets_are_not_opened(spark, book, tmp_path):
+    root, place = str(tmp_path / "book"), str(tmp_path / "mart")
+    tables = {name: df for name, df in book.book.tables().items() if name in mart.SOURCES}
+    one = book.payments.orderBy("payment_id").select("payment_schedule_id").first()[0]
+    late = F.col("payment_schedule_id") == one
+    storage.append_batch(LoanBook(**{n: df.where(~late) if n == "payments" else df for n, df in tables.items()}), root)
+    mart.refresh_snapshot(spark, root, place, buckets=8)
+    storage.append_batch(LoanBook(payments=book.payments.where(late)), root)
+    contract = book.schedule.where(late).first().loan_contract_id
+    own = spark.createDataFrame([(contract,)], "loan_contract_id long").select(mart._bucket(8)).first()[0]
+    for folder in (tmp_path / "mart").glob("*/bucket=*"):
+        if folder.name != f"bucket={own}":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not to be opened")
+    done = mart.refresh_snapshot(spark, root, place, buckets=8)
+    assert (done.contracts, done.buckets) == (1, (own,))
