@@ -23,22 +23,20 @@ from loanbook.sources.keys import with_dense_keys
 from loanbook.sources.loading import gate, load_terms
 from loanbook.sources.mart import SOURCES, read_mart, refresh_snapshot
 from loanbook.sources.orders_book import AS_OF, OrdersBook
-from loanbook.sources.storage import append_batch, read_book, shared_folder
+from loanbook.sources.storage import append_batch, file_state, read_book, shared_folder
 
 try:
     import corpus_pipeline
     from loanbook.llm import queries as llm
-except ModuleNotFoundError as missing:
-    if (missing.name or "").split(".")[0] not in {"corpus_pipeline", "loanbook"}:
-        raise
+except ImportError:  # also where a library that only the subpackage needs is not there
     llm = corpus_pipeline = None
 
-_BOOKS: dict[tuple[str, str], OrdersBook] = {}
+_BOOKS: dict[tuple, OrdersBook] = {}
 
 
 def _book(spark: SparkSession, sf_dir: str) -> OrdersBook:
-    """The book of one folder.  Its stored tables are written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The book of one folder.  Its stored tables are written once per application and state of its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, sf_dir, ["orders", "lineitem", "customer"]))
     if key not in _BOOKS:
         _BOOKS[key] = OrdersBook(spark, sf_dir)
     return _BOOKS[key]

@@ -270,3 +270,14 @@ def _path(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     target = _path(spark, path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def file_state(spark: SparkSession, folder: str, tables: list[str]) -> tuple:
+    """Path, size and time of change of the files of some tables: another state means other rows."""
+    found = []
+    for name in tables:
+        table = _path(spark, f"{folder.rstrip('/')}/{name}.parquet")
+        files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(table):
+            found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(table)]
+    return tuple(found)

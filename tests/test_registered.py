@@ -39,3 +39,12 @@ def test_known_figures(spark, small):
     assert buckets == [801, 104, 86, 69, 205]
     listed = QUERIES["high_risk_watchlist"](spark, small).groupBy("priority").count().collect()
     assert dict(map(tuple, listed)) == {"Critical": 217, "High": 85, "Medium": 85}
+
+
+def test_changed_files_are_noticed(spark, small, tmp_path):
+    for name in ("orders", "lineitem", "customer"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = QUERIES["contract_status_counts"](spark, str(tmp_path)).groupBy().sum("contracts").first()[0]
+    orders = spark.read.parquet(f"{small}/orders.parquet").limit(100)
+    orders.write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["contract_status_counts"](spark, str(tmp_path)).groupBy().sum("contracts").first()[0] == 100 < first

@@ -15,7 +15,7 @@ from loanbook.sources.orders_book import MAX_TERM, OrdersBook
 HOT_ORDER = 7
 
 
-@pytest.fixture(scope="module", params=["many parts", "copies of one line"])
+@pytest.fixture(scope="module", params=["many parts", "copies of one line", "one part at many prices"])
 def skewed(request, spark, small, tmp_path_factory):
     """Order tables in which one order has a third of all lines, all different or all equal."""
     folder = tmp_path_factory.mktemp("skewed")
@@ -27,6 +27,8 @@ def skewed(request, spark, small, tmp_path_factory):
     )
     if request.param == "copies of one line":
         hot = lines.limit(1).drop("l_orderkey").crossJoin(hot.select("l_orderkey")).select(*lines.columns)
+    if request.param == "one part at many prices":
+        hot = hot.withColumns({"l_partkey": F.lit(3).cast("long"), "l_suppkey": F.lit(4).cast("long"), "l_linenumber": F.lit(1).cast(lines.schema["l_linenumber"].dataType)})
     lines.unionByName(hot).repartition(4).write.parquet(f"{folder}/lineitem.parquet")
     return str(folder)
 
@@ -56,13 +58,18 @@ def test_oversized_order_is_split(spark, skewed):
     assert book.wide_schedule.select("payment_schedule_id").distinct().count() == lines.count()
 
 
-def test_splitting_without_broadcast_gives_the_same_book(spark, skewed, monkeypatch):
-    import loanbook.sources.orders_book as module
+def test_splitting_without_broadcast_or_storage_gives_the_same_book(spark, skewed):
+    def contracts(store):
+        return OrdersBook(spark, skewed, store=store).contracts.orderBy("loan_contract_id").collect()
 
-    broadcast = OrdersBook(spark, skewed, store=False).contracts.orderBy("loan_contract_id").collect()
-    monkeypatch.setattr(module, "_BROADCAST_ORDERS", 0)
-    shuffled = OrdersBook(spark, skewed, store=False).contracts.orderBy("loan_contract_id").collect()
-    assert broadcast == shuffled
+    stored = contracts(True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert contracts(True) == stored
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert contracts(False) == stored
 
 
 def test_copies_are_laid_out_in_blocks(spark, monkeypatch):
