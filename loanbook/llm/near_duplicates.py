@@ -234,6 +234,9 @@ def keep_first(
     kept = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).select(
         F.col("id").alias("_id"), F.col("node").alias("_kept")
     )
-    rows = df.withColumn("_node", text_node(F.col(text_column)))
-    same = (rows["_node"] == kept["_kept"]) & rows[id_column].eqNullSafe(kept["_id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_column, "_node"]).drop("_node")
+    node = "_node"
+    while node in df.columns:
+        node += "_"
+    rows = df.withColumn(node, text_node(F.col(text_column)))
+    same = (rows[node] == kept["_kept"]) & rows[id_column].eqNullSafe(kept["_id"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_column, node]).drop(node)
