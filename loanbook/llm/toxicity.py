@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loanbook.llm.text import Block, blocks, mix, runs
 
@@ -33,6 +33,7 @@ BUCKETS = 1 << 15
 NGRAMS = (3, 4, 5)
 SAMPLE_PER_CLASS = 3000
 SAMPLE_TEXT_CHARS = 200_000
+SAMPLE_BYTES = 96 << 20
 REJECT = 0.7
 RARE = 4
 """Texts that a bucket must be seen in, in the smaller class, to tell much."""
@@ -292,8 +293,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """Train on at most ``SAMPLE_PER_CLASS`` labelled texts of each class.
 
     The sample is the rows that are not held out with the smallest hashes of their ids;
-    texts of over ``SAMPLE_TEXT_CHARS`` characters are left out of it.  None if a class
-    has no rows.
+    texts of over ``SAMPLE_TEXT_CHARS`` characters are left out of it, and what goes beyond
+    ``SAMPLE_BYTES`` together.  One task trains on it and returns the parameters, which are
+    all that the driver sees.  None if a class has no rows.
     """
     own = labels.where(~held_out(id_column) & F.col("toxic").isNotNull() & F.col(id_column).isNotNull())
     own = own.groupBy(F.col(id_column).alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -307,12 +309,24 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
         .join(F.broadcast(picked), "_id")
         .groupBy("_id", "_toxic")
         .agg(F.min("_text").alias("_text"))
-        .collect()
     )
-    rows.sort(key=lambda row: str(row["_id"]))
-    if {row["_toxic"] for row in rows} != {0, 1}:
+    # At most two classes' samples.
+    so_far = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("_text")).over(so_far)).where(F.col("_bytes") <= SAMPLE_BYTES)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        if {toxic for _, toxic, _ in sample} != {0, 1}:
+            return
+        for name, values in train([text for _, _, text in sample], [toxic for _, toxic, _ in sample]).p.items():
+            shape = pa.array([list(values.shape)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), shape, pa.array([values.tobytes()])], ["name", "shape", "data"])
+
+    sample = rows.select(F.col("_id").cast("string"), F.col("_toxic").cast("int"), "_text").repartition(1)
+    found = sample.mapInArrow(learn, "name string, shape array<int>, data binary").collect()
+    if not found:
         return None
-    return train([row["_text"] for row in rows], [row["_toxic"] for row in rows])
+    return Network({r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]).copy() for r in found})
 
 
 def score_texts(documents: DataFrame, network: Network | None, text_column: str = "text", name: str = "score") -> DataFrame:
@@ -351,5 +365,7 @@ def score_table(
 
 def keep_clean(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that are not toxic, with the columns they came with."""
-    network = fit(documents, labels, id_column, text_column)
-    return score_texts(documents, network, text_column, "_toxicity").where(F.col("_toxicity") < REJECT).drop("_toxicity")
+    network, name = fit(documents, labels, id_column, text_column), "_toxicity"
+    while name in documents.columns:
+        name += "_"
+    return score_texts(documents, network, text_column, name).where(F.col(name) < REJECT).drop(name)

@@ -58,7 +58,7 @@ def _rows(n, seed):
 def test_held_out_accuracy_and_odd_rows(spark):
     rows = list(_rows(900, 5))
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    df = df.withColumns({"score": F.lit("clash"), "toxic": F.lit(1)})
+    df = df.withColumns({"score": F.lit("clash"), "toxic": F.lit(1), "_toxicity": F.lit(2)})
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
     odd = spark.createDataFrame(
         [(9001, None), (9002, ""), (9003, "..."), (None, "w1 w2"), (9004, "w1 " * 60000 + "vile7 " + "w2 " * 60000),
