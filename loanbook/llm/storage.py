@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a folder of this machine is set for the session.
+    Where that is unset, as in tests, a local session gets a folder of this machine; a
+    cluster's machines share none, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = "file://" + tempfile.mkdtemp(prefix="loanbook-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
