@@ -6,14 +6,20 @@ are joined into components.  The original of many copies is in more and larger b
 than each copy is, so its copies meet it even where they are too far from each other.
 
 A bucket whose nodes all lie in one component needs nothing more.  Of the others, those of
-a few nodes are compared pair by pair across components, and the nodes of larger ones are
-joined across components by a prefix filter, which is exact.  Where two nodes have the
-parts ``x`` and ``y`` of their weights in common, neither Jaccard nor probability Jaccard
-similarity exceeds ``1 / (1 / x + 1 / y - 1)``.  With the features of all nodes in one
-order, rare ones first, what a node has before the first common feature is not common; so
-similar nodes meet at a feature before which both have little.  No link between components
-is lost, and a large group of near copies costs few comparisons a node: what sets a copy
-apart is rare, and what all copies share comes last.
+a few nodes are compared pair by pair across components.  In larger ones a node is told by
+its differences from the leader: the features that only one of the two has.  Two nodes
+without a common difference are no more similar to each other than each is to the leader,
+so a link between components, of which one end is not linked to the leader, needs common
+differences, and the more the further its ends are from the leader.  A prefix filter over
+the differences, rare ones first, finds all such pairs.  What near copies share is no
+difference, so a large group of them costs little although none may be close to the next.
+
+This holds where common features have equal weights.  A node with other weights than its
+leader's is loose; pairs with a loose node go through a prefix filter over whole features.
+Where two nodes have the parts ``x`` and ``y`` of their weights in common, neither Jaccard
+nor probability Jaccard similarity exceeds ``1 / (1 / x + 1 / y - 1)``.  With features in
+one order, what a node has before the first common one is not common; so similar nodes
+meet at a feature before which both have little.  No link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ Verify = Callable[[DataFrame], DataFrame]
 Features = Callable[[DataFrame], DataFrame]
 FEW_NODES = 16
 """Buckets of at most this many nodes are compared pair by pair."""
+_CREWS = 256
+"""Parts that the nodes of one leader are dealt to, so that no task has them all."""
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -60,28 +68,108 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return stored(found, f"{name}-components")
 
 
-def across_components(placed: DataFrame, features: Features, similarity: float, name: str) -> DataFrame:
-    """(a, b) pairs of (node, component) rows of different components that may be similar enough."""
-    weights = stored(features(placed.select("node")), f"{name}-features")  # (node, feature, share)
+def differences(placed: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """What sets nodes apart from their leaders, of (leader, node, component) and (node, feature, weight) rows.
+
+    One row per leader, node and feature that the two do not hold with the same weight:
+    ``own`` and ``theirs`` are the weights, ``mass`` that of the whole node, and ``near``
+    tells whether the node is in its leader's component.
+    """
+    masses = weights.groupBy("node").agg(F.sum("weight").alias("mass"))
+    homes = placed.where("node = leader").select("leader", F.col("component").alias("home")).distinct()
+    crew = F.pmod(F.xxhash64("node"), F.lit(_CREWS)).alias("crew")
+    crewed = placed.where("node <> leader").select("leader", "node", "component", crew).distinct()
+    crews = crewed.select("leader", "crew").distinct().join(homes, "leader")
+    led = stored(
+        crewed.join(crews, ["leader", "crew"])
+        .join(masses, "node")
+        .select("leader", "crew", "node", "component", "mass", (F.col("component") == F.col("home")).alias("near")),
+        f"{name}-led",
+    )
+    keys = ["leader", "node", "component", "near", "mass", "feature"]
+    of_leaders = weights.select(F.col("node").alias("leader"), "feature", F.col("weight").alias("theirs"))
+    held = crews.select("leader", "crew").join(of_leaders, "leader")
+    own = led.join(weights, "node").select(*keys, F.col("weight").alias("own"), F.lit(0).alias("theirs"))
+    theirs = led.join(held, ["leader", "crew"]).select(*keys, F.lit(0).alias("own"), "theirs")
+    both = own.unionByName(theirs).groupBy(*keys).agg(F.sum("own").alias("own"), F.sum("theirs").alias("theirs"))
+    return both.where("own <> theirs")
+
+
+def meetings(apart: DataFrame, similarity: float, name: str) -> DataFrame:
+    """(a, b) pairs of different components that meet at a difference and may be similar; a pair may repeat.
+
+    With ``x`` and ``y`` the weights of the differences of two nodes, ``c`` of the common
+    ones and ``m`` and ``n`` of all the nodes have, the similarity is at least ``s`` where
+    ``x + y - 2 c <= (1 - s) / (1 + s) * (m + n)``.  At the first common difference ``c``
+    is at most what either node has left.
+    """
+    held = apart.groupBy("leader", "feature").agg(
+        F.count("*").alias("nodes"), F.min("component").alias("least"), F.max("component").alias("greatest")
+    )
+    of_node = Window.partitionBy("leader", "node")
+    before = of_node.orderBy("nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("own") + F.col("theirs")
+    prefix = (
+        apart.join(held, ["leader", "feature"])
+        .withColumn("passed", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        .withColumn("differ", F.sum(weight).over(of_node))
+        .where("least <> greatest")
+        .where(F.col("passed") <= F.col("mass") * (1 / similarity - 1) + 1e-6)
+        .select("leader", "feature", "node", "component", "near", "mass", "differ", "passed")
+    )
+    prefix = stored(prefix, f"{name}-differences")
+    # One end at least is not in the leader's component.
+    far = prefix.where("not near").drop("near")
+    other = prefix.toDF("leader", "feature", "b", "apart", "other_near", "other_mass", "other_differ", "other_passed")
+    left = F.least(F.col("differ") - F.col("passed"), F.col("other_differ") - F.col("other_passed"))
+    most = (1 - similarity) / (1 + similarity)
+    meet = (
+        (far["leader"] == other["leader"])
+        & (far["feature"] == other["feature"])
+        & (far["component"] != other["apart"])
+        & (other["other_near"] | (far["node"] < other["b"]))
+        & (F.col("differ") + F.col("other_differ") - 2 * left <= most * (F.col("mass") + F.col("other_mass")) + 1e-6)
+    )
+    return far.join(other, meet).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
+def loose_meetings(loose: DataFrame, placed: DataFrame, weights: DataFrame, similarity: float, name: str) -> DataFrame:
+    """(a, b) pairs of a loose node and one of another component that may be similar; a pair may repeat."""
     often = weights.groupBy("feature").agg(F.count("*").alias("nodes"))
-    before = Window.partitionBy("node").orderBy("nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
+    of_node = Window.partitionBy("node")
+    before = of_node.orderBy("nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
     most = 1 + 1 / similarity + 1e-9
     prefix = (
         weights.join(often, "feature")
-        .withColumn("passed", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+        .withColumn("passed", F.coalesce(F.sum("weight").over(before), F.lit(0)) / F.sum("weight").over(of_node))
         .where((F.col("passed") <= 1 - similarity + 1e-9) & (F.col("nodes") > 1))
-        .join(placed, "node")
+        .join(placed.select("node", "component").distinct(), "node")
         .select("feature", "node", "component", (1 / (1 - F.col("passed"))).alias("rest"))
     )
     prefix = stored(prefix, f"{name}-prefix")
+    one = prefix.join(loose, "node", "left_semi").select("feature", "node", "component", "rest")
     other = prefix.toDF("feature", "b", "apart", "other_rest")
     meet = (
-        (prefix["feature"] == other["feature"])
-        & (prefix["node"] < other["b"])
-        & (prefix["component"] != other["apart"])
-        & (prefix["rest"] + other["other_rest"] <= most)
+        (one["feature"] == other["feature"])
+        & (one["component"] != other["apart"])
+        & (one["rest"] + other["other_rest"] <= most)
     )
-    return prefix.join(other, meet).select(F.col("node").alias("a"), "b").distinct()
+    return one.join(other, meet).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
+def across_components(placed: DataFrame, features: Features, similarity: float, name: str) -> DataFrame:
+    """(a, b) pairs of different components with a common leader that may be similar enough.
+
+    ``placed`` holds (leader, node, component), the leaders themselves included.
+    """
+    weights = stored(features(placed.select("node").distinct()), f"{name}-features")
+    apart = stored(differences(placed, weights, name), f"{name}-apart")
+    unlike = (F.col("own") > 0) & ((F.col("theirs") > 0) | (F.col("own") > 1))
+    loose = stored(apart.where(unlike).select("node").distinct(), f"{name}-loose")
+    pairs = meetings(apart.join(loose, "node", "left_anti"), similarity, name)
+    if not loose.isEmpty():
+        pairs = pairs.unionByName(loose_meetings(loose, placed, weights, similarity, name))
+    return pairs.distinct()
 
 
 def link_buckets(members: DataFrame, verify: Verify, features: Features, similarity: float, name: str) -> DataFrame:
@@ -90,8 +178,8 @@ def link_buckets(members: DataFrame, verify: Verify, features: Features, similar
     ``members`` holds (bucket, node); a row may repeat.  ``verify`` keeps of (a, b) rows
     those that are links: nodes whose Jaccard or probability Jaccard similarity is at least
     ``similarity``.
-    ``features`` gives (node, feature, share) of nodes: what they are made of, and the part
-    of the node's weight that each holds.
+    ``features`` gives (node, feature, weight) of nodes: what they are made of, and how
+    often, a whole number.
     """
     ends = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     crowded = stored(members.join(ends.select("bucket"), "bucket", "left_semi").distinct(), f"{name}-crowded")
@@ -109,7 +197,7 @@ def link_buckets(members: DataFrame, verify: Verify, features: Features, similar
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")
     )
     split = stored(placed.join(sizes.where("x <> y").select("bucket", "size"), "bucket"), f"{name}-split")
-    # In a small bucket the pairs themselves are few; the others go through the prefix filter.
+    # In a small bucket the pairs themselves are few; the others go by their differences.
     few = split.where(F.col("size") <= FEW_NODES).select("bucket", "node", "component")
     other = few.toDF("bucket", "b", "apart")
     pairs = (
@@ -117,8 +205,8 @@ def link_buckets(members: DataFrame, verify: Verify, features: Features, similar
         .where((F.col("node") < F.col("b")) & (F.col("component") != F.col("apart")))
         .select(F.col("node").alias("a"), "b")
     )
-    apart = split.where(F.col("size") > FEW_NODES).select("node", "component").distinct()
-    pairs = pairs.unionByName(across_components(apart, features, similarity, name)).distinct()
+    many = split.where(F.col("size") > FEW_NODES).select("leader", "node", "component").distinct()
+    pairs = pairs.unionByName(across_components(many, features, similarity, name)).distinct()
     more = stored(verify(pairs), f"{name}-more")
     if more.isEmpty():
         return known

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loanbook.llm.links import link_buckets
 from loanbook.llm.storage import stored
@@ -165,21 +165,24 @@ def _verifier(texts: DataFrame, similarity: float):
     return verify
 
 
-def _shingle_shares(texts: DataFrame):
-    """(node, feature, share) of nodes: their shingles and the part of all shingles that each is."""
+def _shingle_weights(texts: DataFrame):
+    """(node, feature, weight) of nodes: their shingles and how often they have each."""
 
     def features(nodes: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch.column(1)):
                     text, codes, weights = weighted_shingles(block)
-                    share = weights / np.bincount(text, weights, block.texts)[text]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(text + block.first)), pa.array(codes.view(np.int64)), pa.array(share)],
-                        names=["node", "feature", "share"],
+                        [
+                            batch.column(0).take(pa.array(text + block.first)),
+                            pa.array(codes.view(np.int64)),
+                            pa.array(weights.astype(np.int64)),
+                        ],
+                        names=["node", "feature", "weight"],
                     )
 
-        kinds = [StructField("feature", LongType()), StructField("share", DoubleType())]
+        kinds = [StructField("feature", LongType()), StructField("weight", LongType())]
         rows = texts.select("node", "text").join(nodes, "node")
         return rows.mapInArrow(run, StructType([*nodes.select("node").schema, *kinds]))
 
@@ -200,7 +203,7 @@ def duplicate_classes(
     texts = stored(
         rows.select("node", "text").join(involved, "node", "left_semi").dropDuplicates(["node"]), "near-texts"
     )
-    linked = link_buckets(members, _verifier(texts, similarity), _shingle_shares(texts), similarity, "near")
+    linked = link_buckets(members, _verifier(texts, similarity), _shingle_weights(texts), similarity, "near")
     smallest = sketched.groupBy("node").agg(F.min("id").alias("least"))
     named = smallest.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("least").alias("class_id"))

@@ -47,7 +47,7 @@ def run(spark, rows, sets, similarity, shown):
         return pairs.join(one, "a").join(other, "b").where(common >= similarity).select("a", "b")
 
     def features(nodes):
-        return nodes.join(table, "node").select("node", F.explode("parts").alias("feature"), (1 / F.size("parts")).alias("share"))
+        return nodes.join(table, "node").select("node", F.explode("parts").alias("feature"), F.lit(1).alias("weight"))
 
     members = spark.createDataFrame(rows, "bucket long, node long")
     return {r.node: r.component for r in link_buckets(members, verify, features, similarity, "t").collect()}
@@ -86,3 +86,45 @@ def test_large_group_costs_few_comparisons(spark):
     near = {n for n in sets if jaccard(sets[0], sets[n]) >= 0.8}
     assert near <= set(got) and {got[n] for n in near} == {0}
     assert shown[0] < 2 * 1500 and shown[1] <= 10 * 1500
+
+
+def test_families_just_under_the_threshold_meet_seldom(spark):
+    """Copies of one text that are far from each other, and some that are near another far one."""
+    rng = np.random.default_rng(6)
+    base, sets, families = list(range(100)), {0: set(range(100))}, {}
+    for n in range(1, 1200):
+        changed = int(rng.integers(6, 11) if n % 3 == 0 else rng.integers(12, 16))
+        if n % 20 == 7:  # a later copy of a copy that is not linked to the original
+            parent = n - 3 if n > 3 else 0
+            kept = sorted(sets[parent])
+            gone = set(rng.choice(kept, 4, replace=False).tolist())
+            families[n] = parent
+            sets[n] = (sets[parent] - gone) | {10_000 * n + k for k in range(4)}
+        else:
+            gone = rng.permutation(base)[:changed].tolist()
+            sets[n] = (set(base) - set(gone)) | {10_000 * n + k for k in range(changed)}
+    rows = [(b, n) for b in range(3) for n in sets] + [(100 + n, k) for n in range(1, 40) for k in (0, n)]
+    shown = []
+    got = run(spark, rows, sets, 0.8, shown)
+    edges = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = brute(range(1200), edges)
+    assert {n: c for n, c in want.items() if any(n in e for e in edges)} == got
+    assert any(jaccard(sets[0], sets[n]) < 0.8 <= jaccard(sets[n], sets[p]) for n, p in families.items())
+    # All pairs would be 720,000; those of nodes that are not linked to the original over 300,000.
+    assert shown[1] <= 3 * 1200
+
+
+def test_meetings_grow_with_the_group(spark):
+    """Rows of the join itself, before equal pairs are merged, for a group and one twice as large."""
+    from loanbook.llm.links import differences, meetings
+
+    made = []
+    for size in (400, 800):
+        rng, rows = np.random.default_rng(7), [(0, f) for f in range(100)]
+        for n in range(1, size):
+            gone = set(rng.permutation(100)[:13].tolist())
+            rows += [(n, f) for f in range(100) if f not in gone] + [(n, 1000 * n + k) for k in range(13)]
+        weights = spark.createDataFrame(rows, "node long, feature long").withColumn("weight", F.lit(1))
+        placed = spark.createDataFrame([(0, n, n) for n in range(size)], "leader long, node long, component long")
+        made.append(meetings(differences(placed, weights, "t"), 0.8, "t").count())
+    assert made[1] <= 2 * 800

@@ -122,3 +122,20 @@ def test_large_groups(spark):
     assert {got[i] for i in range(0, 900, 3)} == {0}
     assert {got[i] for i in range(1, 900, 3)} == {1}
     assert all(got[i] == i for i in range(2, 900, 3))
+
+
+def test_large_group_with_other_weights(spark):
+    """Near copies of a text that repeats itself: some lose a repetition, some only words, some gain a part twice."""
+    rng = random.Random(8)
+    part, rest = rng.choices(VOCABULARY, k=30), rng.choices(VOCABULARY, k=90)
+    texts = [" ".join(part + rest + part)]
+    for i in range(1, 160):
+        words = part * rng.choice((1, 2, 2, 2, 3)) + rest + part * (i % 5 == 0)
+        for _ in range(rng.choice((0, 1, 2, 3, 4))):
+            words[rng.randrange(len(words))] = f"n{i}"
+        if i % 7 == 0:
+            words += words[-12:]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), DOCUMENTS)
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_brute_force(texts)
