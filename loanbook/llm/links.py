@@ -103,18 +103,29 @@ def meetings(apart: DataFrame, similarity: float, name: str) -> DataFrame:
     ``x + y - 2 c <= (1 - s) / (1 + s) * (m + n)``.  At the first common difference ``c``
     is at most what either node has left.
     """
-    held = apart.groupBy("leader", "feature").agg(
-        F.count("*").alias("nodes"), F.min("component").alias("least"), F.max("component").alias("greatest")
+    weight = F.col("own") + F.col("theirs")
+    held = stored(
+        apart.groupBy("leader", "feature").agg(
+            F.count("*").alias("nodes"),
+            (F.min("component") != F.max("component")).alias("crossing"),
+            F.min("node").alias("node"),
+            F.sum(weight).alias("weight"),
+        ),
+        f"{name}-held",
     )
+    # Differences that one node alone has come first in its order; their weight is enough.
+    alone = held.where("nodes = 1").groupBy("leader", "node").agg(F.sum("weight").alias("alone"))
     of_node = Window.partitionBy("leader", "node")
-    before = of_node.orderBy("nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.col("own") + F.col("theirs")
+    before = of_node.orderBy("crossing", "nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
+    bound = F.col("mass") * (1 / similarity - 1) + 1e-6
     prefix = (
-        apart.join(held, ["leader", "feature"])
-        .withColumn("passed", F.coalesce(F.sum(weight).over(before), F.lit(0)))
-        .withColumn("differ", F.sum(weight).over(of_node))
-        .where("least <> greatest")
-        .where(F.col("passed") <= F.col("mass") * (1 / similarity - 1) + 1e-6)
+        apart.join(alone, ["leader", "node"], "left")
+        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .where(F.col("alone") <= bound)
+        .join(held.where("nodes > 1").select("leader", "feature", "nodes", "crossing"), ["leader", "feature"])
+        .withColumn("passed", F.col("alone") + F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        .withColumn("differ", F.col("alone") + F.sum(weight).over(of_node))
+        .where(F.col("crossing") & (F.col("passed") <= bound))
         .select("leader", "feature", "node", "component", "near", "mass", "differ", "passed")
     )
     prefix = stored(prefix, f"{name}-differences")
