@@ -109,20 +109,28 @@ def meetings(apart: DataFrame, similarity: float, name: str) -> DataFrame:
             F.count("*").alias("nodes"),
             (F.min("component") != F.max("component")).alias("crossing"),
             F.min("node").alias("node"),
+            F.min("mass").alias("mass"),
             F.sum(weight).alias("weight"),
         ),
         f"{name}-held",
     )
     # Differences that one node alone has come first in its order; their weight is enough.
-    alone = held.where("nodes = 1").groupBy("leader", "node").agg(F.sum("weight").alias("alone"))
+    # A node for which they are too much by themselves meets no other one.
+    bound = F.col("mass") * (1 / similarity - 1) + 1e-6
+    alone = stored(
+        held.where("nodes = 1")
+        .groupBy("leader", "node")
+        .agg(F.sum("weight").alias("alone"), F.min("mass").alias("mass"))
+        .select("leader", "node", "alone", (F.col("alone") > bound).alias("apart")),
+        f"{name}-alone",
+    )
     of_node = Window.partitionBy("leader", "node")
     before = of_node.orderBy("crossing", "nodes", "feature").rowsBetween(Window.unboundedPreceding, -1)
-    bound = F.col("mass") * (1 / similarity - 1) + 1e-6
     prefix = (
-        apart.join(alone, ["leader", "node"], "left")
+        apart.join(held.where("nodes > 1").select("leader", "feature", "nodes", "crossing"), ["leader", "feature"])
+        .join(alone.where("apart").select("leader", "node"), ["leader", "node"], "left_anti")
+        .join(alone.where("not apart").drop("apart"), ["leader", "node"], "left")
         .withColumn("alone", F.coalesce("alone", F.lit(0)))
-        .where(F.col("alone") <= bound)
-        .join(held.where("nodes > 1").select("leader", "feature", "nodes", "crossing"), ["leader", "feature"])
         .withColumn("passed", F.col("alone") + F.coalesce(F.sum(weight).over(before), F.lit(0)))
         .withColumn("differ", F.col("alone") + F.sum(weight).over(of_node))
         .where(F.col("crossing") & (F.col("passed") <= bound))
