@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loanbook.book import LoanBook
 from loanbook.functions.fingerprint import batch_keys
+from loanbook.plans import inspect
 from loanbook.schemas import RUN_KEY, TABLES, TEXT_LIMITS
-from loanbook.sources import storage
+from loanbook.sources import loading, storage
 from loanbook.sources.defects import damaged_book
 from loanbook.sources.keys import with_dense_keys
 from loanbook.sources.loading import gate, load_batch, load_terms
@@ -189,3 +190,21 @@ def test_a_clean_batch_passes_whole(spark, small, tmp_path):
     assert gated.quarantine.isEmpty()
     assert gated.accepted.loan_collateral.exceptAll(book.loan_collateral).isEmpty()
     assert gated.accepted.customers.count() == book.customers.count()
+
+
+def test_the_gate_broadcasts_no_keys_of_the_batch(spark, small, tmp_path, monkeypatch):
+    written = []
+
+    def noted(df, path):
+        written.append(inspect.physical_plan(df))
+        return storage.write_table(df, path)
+
+    monkeypatch.setattr(loading, "write_table", noted)
+    book = damaged_book(OrdersBook(spark, small).batch)
+    gated = gate(book, str(tmp_path))
+    written += [inspect.physical_plan(df) for df in (gated.quarantine, *gated.accepted.tables().values())]
+    assert not any("Broadcast" in plan for plan in written) and any("SortMergeJoin" in plan for plan in written)
+    copies = book.customers.unionByName(book.customers)
+    rows = gated.accepted.customers.unionByName(gated.accepted.customers)
+    twice = gate(LoanBook(customers=copies), str(tmp_path)).accepted.customers
+    assert twice.count() * 2 == rows.count() and twice.exceptAll(gated.accepted.customers).isEmpty()
