@@ -50,6 +50,10 @@ _LOAD_SCHEMA = T.StructType(
 _KEY_BITS = 32_768
 #: Tables of a load that are written at the same time.
 _AT_ONCE = 4
+#: Keys that are sent to every task; more are merged.
+FEW_KEYS = 500_000
+#: How stored tables are compressed: smaller than by default, and as quick to read.
+CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -113,13 +117,18 @@ def append_batch(book: LoanBook, root: str, batch_key: str | None = None, prune:
             rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
         if name in met:
             known = _read(spark, root, name, [folder for _, folder in met[name]]).select(key)
-            rows = rows.join(known, key, "left_anti").select(rows.columns)
+            # Keys alone meet what is stored; whole rows move only where many of them are refused.
+            again = write_table(rows.select(key).join(known, key, "left_semi").distinct(), f"{root}/_refused/{folder}/{name}")
+            refused = again.count()
+            if refused:
+                again = F.broadcast(again) if refused <= FEW_KEYS else again.hint("merge")
+                rows = rows.join(again, key, "left_anti").select(rows.columns)
         seen = Observation()
         metrics = [
             F.count("*").alias("rows"), F.count(RUN_KEY).alias("with_run"), F.min(key).alias("low"),
             F.max(key).alias("high"), F.bitmap_construct_agg(_key_bit(key)).alias("key_bits"),
         ]
-        rows.observe(seen, *metrics).write.parquet(f"{root}/{name}/{folder}")
+        rows.observe(seen, *metrics).write.parquet(f"{root}/{name}/{folder}", compression=CODEC)
         return seen.get
 
     # Several tables at a time: small writes leave cores idle.
@@ -237,7 +246,7 @@ def _read_loads(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Store a frame and read it back, which ends its lineage at the files."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=CODEC)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
