@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 from loanbook.book import LoanBook
+from loanbook.sources.storage import CODEC
 
 BUCKET_KEY = "payment_schedule_id"
 BUCKETED = ("payment_schedule", "payments", "delinquency_events")
@@ -32,6 +33,7 @@ def write_bucketed(book: LoanBook, root: str, buckets: int, prefix: str | None =
             # One task per bucket writes one file per bucket.
             rows.repartition(buckets, BUCKET_KEY)
             .write.format("parquet")
+            .option("compression", CODEC)
             .bucketBy(buckets, BUCKET_KEY)
             .sortBy(BUCKET_KEY)
             .option("path", f"{root.rstrip('/')}/{name}")
