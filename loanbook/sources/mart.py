@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loanbook.operators.snapshot import portfolio_snapshot
 from loanbook.schemas import TABLES
-from loanbook.sources.storage import exists, load_rows, loads, read_book, write_table
+from loanbook.sources.storage import CODEC, FEW_KEYS, exists, load_rows, loads, read_book, write_table
 
 SOURCES = ("loan_contracts", "payment_schedule", "payments", "delinquency_events")
 _VERSIONS = "versions"
@@ -68,31 +69,39 @@ def refresh_snapshot(spark: SparkSession, root: str, mart: str, buckets: int = 6
     book, added = read_book(spark, root).tables(), load_rows(spark, root, new)
     schedule = book["payment_schedule"].select("payment_schedule_id", "loan_contract_id")
     touched = [added[name].select("loan_contract_id") for name in SOURCES[:2] if name in added]
-    for name in SOURCES[2:]:
-        if name in added:
-            instalments = added[name].select("payment_schedule_id").distinct()
-            touched.append(schedule.join(instalments, "payment_schedule_id", "left_semi").select("loan_contract_id"))
-    contracts = touched[0]
-    for more in touched[1:]:
-        contracts = contracts.unionByName(more)
-    contracts = write_table(contracts.where("loan_contract_id IS NOT NULL").distinct(), f"{work}/contracts-{version}")
+    facts = [added[name].select("payment_schedule_id") for name in SOURCES[2:] if name in added]
+    earlier = load_rows(spark, root, sorted(known)).get("payment_schedule") if known else None
+    if facts and earlier is not None:
+        # Contracts of new instalments are known; those of earlier ones are looked up once for all new facts.
+        instalments = reduce(DataFrame.unionByName, facts).distinct()
+        touched.append(earlier.join(instalments, "payment_schedule_id", "left_semi").select("loan_contract_id"))
+    if not touched:
+        # Facts alone, and no instalments before them.
+        touched = [schedule.limit(0).select("loan_contract_id")]
+    contracts = reduce(DataFrame.unionByName, touched).where("loan_contract_id IS NOT NULL").distinct()
+    contracts = write_table(contracts, f"{work}/contracts-{version}")
     # At most one row per bucket.
     changed = sorted(row.bucket for row in contracts.select(_bucket(buckets)).distinct().collect())
 
-    theirs = book["payment_schedule"].join(contracts, "loan_contract_id", "left_semi")
-    keys = theirs.select("payment_schedule_id")
-    facts = [
-        book[name].join(keys, "payment_schedule_id", "left_semi") if name in book else spark.createDataFrame([], TABLES[name].schema)
-        for name in SOURCES[2:]
-    ]
-    fresh = portfolio_snapshot(book["loan_contracts"].join(contracts, "loan_contract_id", "left_semi"), theirs, *facts)
+    facts = [book[name] if name in book else spark.createDataFrame([], TABLES[name].schema) for name in SOURCES[2:]]
+    if contracts.count() <= FEW_KEYS // 10:
+        # Other rows go before they move; where much is touched, the mart's own joins leave them out.
+        schedule = schedule.join(F.broadcast(contracts), "loan_contract_id", "left_semi")
+        schedule = write_table(schedule, f"{work}/schedule-{version}")
+        if schedule.count() <= FEW_KEYS:
+            keys = F.broadcast(schedule.select("payment_schedule_id"))
+            facts = [df.join(keys, "payment_schedule_id", "left_semi") for df in facts]
+    fresh = portfolio_snapshot(book["loan_contracts"].join(contracts, "loan_contract_id", "left_semi"), schedule, *facts)
     kept = [row.folder for row in old if row.bucket in changed]
     if kept:
         before = spark.read.schema(fresh.schema).parquet(*kept)
         fresh = fresh.unionByName(before.join(contracts, "loan_contract_id", "left_anti"))
     path = f"{mart}/{version}"
-    rows = fresh.withColumn("bucket", _bucket(buckets)).repartition(min(buckets, len(changed) or 1), "bucket")
-    rows.write.partitionBy("bucket").parquet(path)
+    # A bucket is written in as many parts as the session's partitions allow, one file each.
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // (len(changed) or 1))
+    part = F.pmod(F.xxhash64("loan_contract_id", F.lit(1)), F.lit(parts))
+    rows = fresh.withColumn("bucket", _bucket(buckets)).repartition(parts * (len(changed) or 1), "bucket", part)
+    rows.write.partitionBy("bucket").parquet(path, compression=CODEC)
 
     number, taken = (old[0].version if old else 0) + 1, sorted(known | set(new))
     now = [(number, row.bucket, row.folder, taken) for row in old if row.bucket not in changed]

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from loanbook.book import LoanBook
 from loanbook.operators import monitoring, segmentation, sketches, summary
 from loanbook.operators.lifecycle import derive_delinquency_events
@@ -12,7 +13,7 @@ from loanbook.operators.rolling import roll_delinquency_events
 from loanbook.plans import inspect
 from loanbook.schemas import RUN_KEY
 from loanbook.operators.snapshot import portfolio_snapshot
-from loanbook.sources import mart, storage
+from loanbook.sources import mart, orders_book, storage
 from loanbook.sources.orders_book import AS_OF, OrdersBook
 
 
@@ -134,3 +135,69 @@ def test_untouched_buckets_are_not_opened(spark, book, tmp_path):
                 file.write_bytes(b"not to be opened")
     done = mart.refresh_snapshot(spark, root, place, buckets=8)
     assert (done.contracts, done.buckets) == (1, (own,))
+
+
+def test_much_is_refreshed_without_single_keys_and_in_parts(spark, book, tmp_path, monkeypatch):
+    """The same mart whether keys are sent out or not; a bucket is written in as many parts as there are partitions for it."""
+    tables = {name: df for name, df in book.book.tables().items() if name in mart.SOURCES}
+    late = F.col("payment_schedule_id") % 7 == 0
+    marts = []
+    for few in (mart.FEW_KEYS, 0):
+        monkeypatch.setattr(mart, "FEW_KEYS", few)
+        monkeypatch.setattr(storage, "FEW_KEYS", few)
+        root, place = str(tmp_path / f"book-{few}"), str(tmp_path / f"mart-{few}")
+        first = {n: df.where(~late) if n == "payments" else df for n, df in tables.items()}
+        storage.append_batch(LoanBook(**first), root)
+        mart.refresh_snapshot(spark, root, place, buckets=2)
+        parts = [len(list(f.glob("*.parquet"))) for f in (tmp_path / f"mart-{few}").glob("*/bucket=*")]
+        assert len(parts) == 2 and min(parts) > 1
+        report = storage.append_batch(LoanBook(payments=book.payments), root)[0]
+        assert report.refused == book.payments.where(~late).count() and report.added == book.payments.where(late).count()
+        mart.refresh_snapshot(spark, root, place, buckets=2)
+        marts.append(rows(mart.read_mart(spark, place)))
+    assert marts[0] == marts[1] == rows(book.derive_snapshot())
+
+
+def test_fresh_rows_are_stored_without_moving(spark, tmp_path, monkeypatch):
+    """Keys in the range of an earlier load, none of them stored: keys are compared, rows stay where they are."""
+    root, plans = str(tmp_path / "book"), []
+    columns = storage.stored_schema("loan_contracts")
+    given = spark.range(2000).select(*(
+        F.col("id").alias(f.name) if f.name == "loan_contract_id" else F.lit("R" if f.name == RUN_KEY else None).cast(f.dataType).alias(f.name)
+        for f in columns
+    ))
+    storage.append_batch(LoanBook(loan_contracts=given.where("loan_contract_id % 2 = 0")), root)
+    opened = storage._read
+    monkeypatch.setattr(storage, "_read", lambda *args: plans.append(args[3]) or opened(*args))
+    odd = given.where("loan_contract_id % 2 = 1").repartition(3)
+    (report,) = storage.append_batch(LoanBook(loan_contracts=odd), root)
+    assert (report.added, report.refused, len(plans)) == (1000, 0, 1)
+    # One file per partition of the batch: a join would have dealt them anew.
+    (load,) = [r.folder for r in storage.loads(spark, root).where("low = 1").collect()]
+    assert len(list((tmp_path / "book" / "loan_contracts" / load).glob("*.parquet"))) == 3
+
+
+def test_shuffles_of_the_book_follow_its_input(spark, small, tmp_path, monkeypatch):
+    """What a task holds is bounded by rows of the input per partition, not by the session's number."""
+    seen, store = [], orders_book.write_table
+
+    def noted(df, path):
+        seen.append((spark.conf.get("spark.sql.shuffle.partitions"), path.rsplit("/", 1)[1]))
+        return store(df, path)
+
+    monkeypatch.setattr(orders_book, "ROWS_PER_PARTITION", 500)
+    monkeypatch.setattr(orders_book, "write_table", noted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sized = OrdersBook(spark, small)
+    rows_in = sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    assert sized.partitions == -(-rows_in // 500) > int(before)
+    assert sized.snapshot.count() > 0
+    assert {n for n, _ in seen} == {str(sized.partitions)} and "portfolio_snapshot" in {name for _, name in seen}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    monkeypatch.setattr(registered, "_book", lambda spark, folder: sized)
+    registered.queries()["bucketed_events"](spark, small)
+    assert spark.sql("SHOW TABLES").count() >= 3
+    names = [r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.endswith("payment_schedule")]
+    details = [r.data_type for n in names for r in spark.sql(f"DESCRIBE FORMATTED {n}").where("col_name = 'Num Buckets'").collect()]
+    assert str(sized.partitions) in details
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
