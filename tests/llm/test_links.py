@@ -128,3 +128,30 @@ def test_meetings_grow_with_the_group(spark):
         placed = spark.createDataFrame([(0, n, n) for n in range(size)], "leader long, node long, component long")
         made.append(meetings(differences(placed, weights, "t"), 0.8, "t").count())
     assert made[1] <= 2 * 800
+
+
+def test_features_of_one_node_make_no_rows(spark):
+    """Copies with many parts of their own: each such part was a row before, once for each leader."""
+    from loanbook.llm.links import across_components, differences
+
+    def group(size, own):
+        rows = [(n, f) for n in (0, 1) for f in range(100)] + [(1, 99_999)]
+        for n in range(2, size):
+            gone = n % 3
+            rows += [(n, f) for f in range(gone, 100)] + [(n, 1000 * n + k) for k in range(own)]
+        placed = [(leader, n, n) for leader in (0, 1) for n in range(size)]
+        weights = spark.createDataFrame(rows, "node long, feature long").withColumn("weight", F.lit(1))
+        return spark.createDataFrame(placed, "leader long, node long, component long"), weights
+
+    for size in (100, 200):
+        assert differences(*group(size, 15), "t", 0.8).count() <= 4 * size
+    # A fifth of a node or more that no other has: it is similar to none.
+    assert differences(*group(100, 30), "t", 0.8).where("node > 1").isEmpty()
+    placed, weights = group(60, 4)
+    got = {(r.a, r.b) for r in across_components(placed, lambda nodes: weights, 0.8, "t").collect()}
+    sets = {}
+    for r in weights.collect():
+        sets.setdefault(r.node, set()).add(r.feature)
+    near = {(a, b) for a, b in combinations(range(2, 60), 2) if jaccard(sets[a], sets[b]) >= 0.8}
+    met = {p for p in near if any(f < 100 for f in sets[p[0]] ^ sets[0] if f in sets[p[1]] ^ sets[0])}
+    assert met and met <= got
