@@ -165,23 +165,23 @@ class SuffixArray:
 
 
 def _anchored(documents: DataFrame) -> DataFrame:
-    """(id, version, start, strings, offset, anchor, context) of every run of the texts."""
+    """(id, version, start, strings, anchor, context) of every run of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                text, start, strings, offset, anchor, context = runs_of(block)
+                text, start, strings, _, anchor, context = runs_of(block)
                 if not len(text):
                     continue
                 rows = pa.array(text + block.first)
-                small = [pa.array(v.astype(np.int32)) for v in (start, strings, offset)]
+                small = [pa.array(v.astype(np.int32)) for v in (start, strings)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), *small, pa.array(anchor), pa.array(context)],
-                    names=["id", "version", "start", "strings", "offset", "anchor", "context"],
+                    names=["id", "version", "start", "strings", "anchor", "context"],
                 )
 
     keys = documents.select("id", "version").schema
-    numbers = [StructField(n, IntegerType()) for n in ("start", "strings", "offset")]
+    numbers = [StructField(n, IntegerType()) for n in ("start", "strings")]
     hashes = [StructField(n, LongType()) for n in ("anchor", "context")]
     return documents.select("id", "version", "text").mapInArrow(run, StructType([*keys, *numbers, *hashes]))
 
@@ -281,7 +281,7 @@ def _strings(documents: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def _later_strings(strings: DataFrame) -> DataFrame:
     """(id, version, first, end): ranges of the strings that are not the earliest of their kind."""
-    place = F.struct("id", "start")
+    place = F.struct("id", "start", "version", "run")
     earliest = (
         strings.groupBy("anchor", "string")
         .agg(F.min(place).alias("earliest"), F.max(place).alias("last"))
@@ -367,7 +367,9 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     found = copied.unionByName(found)
     if crowded.isEmpty():
         return found
-    return found.unionByName(_later_strings(stored(_strings(documents, crowded), "repeat-strings")))
+    # Not stored: within one query, all joins with the documents read the same shuffle of the texts.
+    # The strings are cut once, as both sides of their join read all columns of one shuffle.
+    return found.unionByName(_later_strings(_strings(documents, crowded).repartition("anchor", "string")))
 
 
 def _documents(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -133,3 +133,31 @@ def test_contexts_of_one_anchor_are_split(spark, monkeypatch):
     assert got == sorted(brute(texts), key=str)
     scanned, *_ = seen
     assert max(r["count"] for r in scanned.groupBy("anchor").count().collect()) <= 5
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Contexts, strings of crowded anchors and the result read one shuffle of the texts."""
+    rng = np.random.default_rng(8)
+    core = "".join(chr(c) for c in rng.integers(97, 123, 150))
+    texts = [core + "".join(chr(c) for c in rng.integers(97, 123, 60)) for _ in range(40)]
+    other = "".join(chr(c) for c in rng.integers(65, 91, 140))
+    texts += [other + "x" * 30, other + "y" * 30]
+    plans, real = [], repeats.stored
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(repeats, "stored", spy)
+    monkeypatch.setattr(repeats, "MOST_CONTEXTS", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        got = {r.doc_id: len(r.kept) for r in found.collect()}
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == 210 and all(got[n] <= 60 for n in range(1, 40)) and got[41] <= 30
+    assert not any("wanted" in plan for plan in plans)
+    assert sum("ReusedExchange" in line and "text#" in line for line in final) >= 2
+    assert sum("MapInArrow" in line and "string#" in line for line in final) == 1
