@@ -1,5 +1,7 @@
 """Neighbours: recall and exact scores against brute force, heap order, copies, odd rows."""
 
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,82 @@ def test_large_cells_are_split(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
     got = neighbours.search(df, "vec_id % 50 = 0", share=1.0).collect()
     assert recall(got, np.arange(600), x, list(range(0, 600, 50))) == 1.0
+
+
+def heap_order(a, b, rows, wanted):
+    """Cells with rows in the order in which a heap over pairs of centroids meets them."""
+    first, second = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    heap, seen, met = [(a[first[0]] + b[second[0]], 0, 0)], {(0, 0)}, []
+    while heap and wanted > 0:
+        _, i, j = heapq.heappop(heap)
+        cell = int(first[i] * len(second) + second[j])
+        if rows[cell]:
+            met.append(cell)
+            wanted -= int(rows[cell])
+        for k, m in ((i + 1, j), (i, j + 1)):
+            if k < len(first) and m < len(second) and (k, m) not in seen:
+                seen.add((k, m))
+                heapq.heappush(heap, (a[first[k]] + b[second[m]], k, m))
+    return met
+
+
+@pytest.mark.parametrize("steps", [3, 10**6])
+def test_visited_cells_are_those_of_a_heap(steps):
+    """Also where many sums are equal."""
+    rng = np.random.default_rng(7)
+    index = neighbours.MultiIndex(rng.normal(size=(9, 4)), rng.normal(size=(7, 4)))
+    for wanted in (0, 1, 5, 40, 80, 10**9):
+        a, b = rng.integers(0, steps, 9) / steps, rng.integers(0, steps, 7) / steps
+        rows = rng.integers(0, 4, 63)
+        met = heap_order(a, b, rows, wanted)
+        assert index.walk(a, b, rows, wanted) == met
+        filled = np.flatnonzero(rows)
+        assert set(filled[index.visited(a, b, filled, rows[filled], wanted)]) == set(met)
+
+
+def clustered(spark, many=900, copies=300):
+    """Random vectors, and one of them under many more ids: a cell of a third of all rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(many, 6)).astype(np.float32)
+    x = np.concatenate((x, x[:1] + rng.normal(size=(copies, 6)).astype(np.float32) / 100))
+    return np.arange(len(x)), x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+
+
+def test_a_task_is_given_one_vector_a_row(spark, monkeypatch):
+    """Queries move once for each part that they visit, not for each cell, and neither they nor rows in packs."""
+    ids, x, df = clustered(spark)
+    taken, rank = [], neighbours._rank
+    monkeypatch.setattr(neighbours, "_rank", lambda moved, *rest: taken.append((moved, rest)) or rank(moved, *rest))
+    neighbours.search(df, "vec_id % 2 = 0", share=1.0)
+    ((moved, (parts, _)),) = taken
+    lists = [f.name for f in moved.schema.fields if f.dataType.typeName() == "array"]
+    assert all(moved.agg(F.max(F.size(c))).first()[0] == 6 for c in lists)
+    assert moved.count() == len(ids) * (1 + len(parts) / 2) and len(parts) < 2 * neighbours.LEAST_PARTS
+
+
+def test_many_parts_give_what_one_gives(spark, monkeypatch):
+    ids, x, df = clustered(spark)
+    one = sorted(neighbours.search(df, "vec_id % 40 = 0").collect())
+    monkeypatch.setattr(neighbours, "PART_BYTES", 6 * 4 * 50)
+    monkeypatch.setattr(neighbours, "PACK_QUERIES", 7)
+    monkeypatch.setattr(neighbours, "PACK_ROWS", 9)
+    assert sorted(neighbours.search(df, "vec_id % 40 = 0").collect()) == one
+    got = neighbours.search(df, "vec_id % 40 = 0", share=1.0).collect()
+    assert recall(got, ids, x, list(range(0, 1200, 40))) == 1.0
+
+
+def test_parts_hold_bounded_rows_and_all_of_them():
+    parts = neighbours.Parts.of(np.array([1, 4, 5, 8, 9, 11]), np.array([3, 4, 25, 2, 9, 10]), 10)
+    assert parts.first.tolist() == [0, 0, 1, 4, 5, 6] and parts.span.tolist() == [1, 1, 3, 1, 1, 1]
+    assert len(parts) == 7 and parts.places() == [(0, 2), (2, 3), (2, 3), (2, 3), (3, 4), (4, 5), (5, 6)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_repeated_vectors_keep_their_smallest_ids(spark, monkeypatch, few):
+    """Merged or sent out; a row that repeats id and vector counts once."""
+    monkeypatch.setattr(neighbours, "FEW_KEYS", few)
+    rows = [(i % 40, [1.0, float(i % 2)]) for i in range(100)] + [(7, [3.0, 1.0]), (7, [3.0, 1.0]), (8, [5.0, 1.0])]
+    kept, total = neighbours._kept(neighbours.usable(spark.createDataFrame(rows, VECTORS)), 4)
+    got = sorted((r.vec_id, r.embedding) for r in kept.collect())
+    assert got == sorted([(i, [1.0, float(i % 2)]) for i in range(8)] + [(7, [3.0, 1.0]), (8, [5.0, 1.0])])
+    assert total == len(got)
