@@ -403,7 +403,8 @@ def search(
     ranked = _rank(passing, parts, top + 1)
     best = Window.partitionBy(*_KEY).orderBy(F.desc("score"), "vec_id")
     found = ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top + 1)
-    answers = queries.select(F.col("vec_id").alias("query_id"), *_KEY).distinct().join(found, _KEY)
+    # Either side grows with the table, whatever its estimate says.
+    answers = queries.select(F.col("vec_id").alias("query_id"), *_KEY).distinct().join(found.hint("merge"), _KEY)
     own = Window.partitionBy("query_id", *_KEY).orderBy(F.desc("score"), "vec_id")
     return (
         answers.where(F.col("vec_id") != F.col("query_id"))

@@ -151,6 +151,15 @@ def test_a_task_is_given_one_vector_a_row(spark, monkeypatch):
     assert moved.count() == len(ids) * (1 + len(parts) / 2) and len(parts) < 2 * neighbours.LEAST_PARTS
 
 
+def test_only_the_list_of_parts_is_broadcast(spark):
+    """Also under a limit that all of this small table is below: estimates of what grows are not relied on."""
+    _, _, df = clustered(spark)
+    found = neighbours.search(df, "vec_id % 2 = 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("BroadcastExchange") == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_many_parts_give_what_one_gives(spark, monkeypatch):
     ids, x, df = clustered(spark)
     one = sorted(neighbours.search(df, "vec_id % 40 = 0").collect())
