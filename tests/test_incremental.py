@@ -1,6 +1,7 @@
 """Reports from one summary, events rolled forward, merged medians."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,26 @@ def test_shuffles_of_the_book_follow_its_input(spark, small, tmp_path, monkeypat
     details = [r.data_type for n in names for r in spark.sql(f"DESCRIBE FORMATTED {n}").where("col_name = 'Num Buckets'").collect()]
     assert str(sized.partitions) in details
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f.rsplit("/", 1)[-1] for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_jobs_of_a_book_leave_no_shuffle_files(spark, small, tmp_path):
+    """Neither where the session has partitions enough nor where it gets more."""
+    book = OrdersBook(spark, small)
+    names = (orders_book._PARTITIONS, orders_book._MERGED_SIZE, orders_book._RELEASED)
+    before, known = [spark.conf.get(name) for name in names], shuffle_files(spark)
+    for partitions in (1, 20):
+        book.partitions = partitions
+        with book.sized():
+            counts = book._table("lineitem", orders_book._LINES).repartition(4, "l_suppkey").groupBy("l_partkey").count()
+            storage.write_table(counts, str(tmp_path / f"counts-{partitions}"))
+            assert counts.count() > 0
+        until = time.time() + 20
+        while (left := shuffle_files(spark) - known) and time.time() < until:
+            time.sleep(0.2)
+        assert not left
+        assert [spark.conf.get(name) for name in names] == before

@@ -208,3 +208,20 @@ def test_the_gate_broadcasts_no_keys_of_the_batch(spark, small, tmp_path, monkey
     rows = gated.accepted.customers.unionByName(gated.accepted.customers)
     twice = gate(LoanBook(customers=copies), str(tmp_path)).accepted.customers
     assert twice.count() * 2 == rows.count() and twice.exceptAll(gated.accepted.customers).isEmpty()
+
+
+def test_the_gate_leaves_only_judged_tables_and_shuffles_one_rule_at_a_time(spark, small, tmp_path, monkeypatch):
+    plans = []
+
+    def noted(df, path):
+        plans.append(inspect.physical_plan(df))
+        return storage.write_table(df, path)
+
+    monkeypatch.setattr(loading, "write_table", noted)
+    book = damaged_book(OrdersBook(spark, small).batch)
+    gated = gate(book, str(tmp_path))
+    (folder,) = tmp_path.iterdir()
+    assert {p.name for p in folder.iterdir()} == {f"judged-{name}" for name in book.tables()}
+    # Of a rule, keys and rows; of a table, its rows and the rules that they break.
+    assert max(map(inspect.shuffles, plans)) == 2
+    assert gated.accepted.customers.count() > 0 and gated.quarantine.count() > 0
