@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loanbook.operators.snapshot import portfolio_snapshot
 from loanbook.schemas import TABLES
-from loanbook.sources.storage import CODEC, FEW_KEYS, exists, load_rows, loads, read_book, write_table
+from loanbook.sources.storage import CODEC, FEW_KEYS, exists, load_rows, loads, read_book, remove, write_table
 
 SOURCES = ("loan_contracts", "payment_schedule", "payments", "delinquency_events")
 _VERSIONS = "versions"
@@ -65,7 +65,8 @@ def refresh_snapshot(spark: SparkSession, root: str, mart: str, buckets: int = 6
     new = sorted(row.load_id for row in listed.collect() if row.load_id not in known)
     if not new:
         return Refreshed((), 0, ())
-    version, work = uuid.uuid4().hex, f"{mart}/work"
+    version = uuid.uuid4().hex
+    work = f"{mart}/work/{version}"
     book, added = read_book(spark, root).tables(), load_rows(spark, root, new)
     schedule = book["payment_schedule"].select("payment_schedule_id", "loan_contract_id")
     touched = [added[name].select("loan_contract_id") for name in SOURCES[:2] if name in added]
@@ -79,29 +80,33 @@ def refresh_snapshot(spark: SparkSession, root: str, mart: str, buckets: int = 6
         # Facts alone, and no instalments before them.
         touched = [schedule.limit(0).select("loan_contract_id")]
     contracts = reduce(DataFrame.unionByName, touched).where("loan_contract_id IS NOT NULL").distinct()
-    contracts = write_table(contracts, f"{work}/contracts-{version}")
+    contracts = write_table(contracts, f"{work}/contracts")
+    many = contracts.count()
     # At most one row per bucket.
     changed = sorted(row.bucket for row in contracts.select(_bucket(buckets)).distinct().collect())
 
     facts = [book[name] if name in book else spark.createDataFrame([], TABLES[name].schema) for name in SOURCES[2:]]
-    if contracts.count() <= FEW_KEYS // 10:
+    if many <= FEW_KEYS // 10:
         # Other rows go before they move; where much is touched, the mart's own joins leave them out.
         schedule = schedule.join(F.broadcast(contracts), "loan_contract_id", "left_semi")
-        schedule = write_table(schedule, f"{work}/schedule-{version}")
+        schedule = write_table(schedule, f"{work}/schedule")
         if schedule.count() <= FEW_KEYS:
             keys = F.broadcast(schedule.select("payment_schedule_id"))
             facts = [df.join(keys, "payment_schedule_id", "left_semi") for df in facts]
     fresh = portfolio_snapshot(book["loan_contracts"].join(contracts, "loan_contract_id", "left_semi"), schedule, *facts)
+    written, path = [fresh], f"{mart}/{version}"
     kept = [row.folder for row in old if row.bucket in changed]
     if kept:
         before = spark.read.schema(fresh.schema).parquet(*kept)
-        fresh = fresh.unionByName(before.join(contracts, "loan_contract_id", "left_anti"))
-    path = f"{mart}/{version}"
+        written.append(before.join(contracts, "loan_contract_id", "left_anti"))
     # A bucket is written in as many parts as the session's partitions allow, one file each.
     parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // (len(changed) or 1))
     part = F.pmod(F.xxhash64("loan_contract_id", F.lit(1)), F.lit(parts))
-    rows = fresh.withColumn("bucket", _bucket(buckets)).repartition(parts * (len(changed) or 1), "bucket", part)
-    rows.write.partitionBy("bucket").parquet(path, compression=CODEC)
+    for rows in written:
+        # One after the other, so that the shuffle files of one lie on disk at a time.
+        rows = rows.withColumn("bucket", _bucket(buckets)).repartition(parts * (len(changed) or 1), "bucket", part)
+        rows.write.mode("append").partitionBy("bucket").parquet(path, compression=CODEC)
+    remove(spark, work)
 
     number, taken = (old[0].version if old else 0) + 1, sorted(known | set(new))
     now = [(number, row.bucket, row.folder, taken) for row in old if row.bucket not in changed]
@@ -109,6 +114,6 @@ def refresh_snapshot(spark: SparkSession, root: str, mart: str, buckets: int = 6
     now += [(number, b, f"{path}/bucket={b}", taken) for b in changed if exists(spark, f"{path}/bucket={b}")]
     now = now or [(number, None, None, taken)]
     spark.createDataFrame(now, _VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{mart}/{_VERSIONS}")
-    return Refreshed(tuple(new), contracts.count(), tuple(changed))
+    return Refreshed(tuple(new), many, tuple(changed))
 
 

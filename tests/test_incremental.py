@@ -225,3 +225,18 @@ def test_jobs_of_a_book_leave_no_shuffle_files(spark, small, tmp_path):
             time.sleep(0.2)
         assert not left
         assert [spark.conf.get(name) for name in names] == before
+
+
+def test_a_refresh_keeps_no_work_tables(spark, small, tmp_path):
+    """Nor does an append; what is kept in touched buckets and what is computed anew make up the mart."""
+    root, folder = str(tmp_path / "book"), str(tmp_path / "mart")
+    book = OrdersBook(spark, small).book
+    tables = {name: df for name, df in book.tables().items() if name in mart.SOURCES}
+    for rows in ("RUN1", "RUN2"):
+        storage.append_batch(LoanBook(**{name: df.where(F.col(RUN_KEY) == rows) for name, df in tables.items()}), root)
+        mart.refresh_snapshot(spark, root, folder, buckets=3)
+    stored = LoanBook(**{name: df.where(F.col(RUN_KEY).isin("RUN1", "RUN2")) for name, df in tables.items()})
+    whole = portfolio_snapshot(stored.loan_contracts, stored.payment_schedule, stored.payments, stored.delinquency_events)
+    got = mart.read_mart(spark, folder).select(whole.columns)
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+    assert not list(tmp_path.glob("mart/work/*")) and not list(tmp_path.glob("book/_refused/*/*"))
